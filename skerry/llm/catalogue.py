@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skerry.llm import language_id, license_scan, piece_codec, quality_rules, token_counts, topk_search
+from skerry.llm import language_id, license_scan, piece_codec, quality_rules, sharding, token_counts, topk_search
 
-MODULES = [license_scan, token_counts, piece_codec, topk_search, quality_rules, language_id]
+MODULES = [license_scan, token_counts, piece_codec, topk_search, quality_rules, language_id, sharding]
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
