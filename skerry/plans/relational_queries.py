@@ -60,7 +60,7 @@ query("join_using_nullsafe", "SELECT a.doc_id FROM {labels} a JOIN {documents} b
 
 # -- aggregates ----------------------------------------------------------------------------------------
 query("agg_count", "SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts, count(CASE WHEN l_tax > 0.05 THEN 1 END) AS taxed FROM {lineitem}")
-query("agg_sum_avg", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty, sum(DISTINCT l_linenumber) AS lines FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
+query("agg_sum_avg", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 6) AS avg_qty, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines FROM {lineitem} GROUP BY l_returnflag, l_linestatus")
 query("agg_minmax", "SELECT o_orderstatus, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date, min(o_totalprice) AS low, max(o_orderpriority) AS top FROM {orders} GROUP BY o_orderstatus")
 query("agg_stddev_var", "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value), 6) AS sdp, round(var_samp(value), 5) AS v, round(var_pop(value), 5) AS vp FROM {events} GROUP BY event_type")
 query("agg_bool", "SELECT c_mktsegment, bool_and(c_acctbal > -900) AS a, bool_or(c_acctbal > 9900) AS b, every(c_custkey >= 0) AS c FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, bool_and(c_acctbal > -900) AS a, bool_or(c_acctbal > 9900) AS b, bool_and(c_custkey >= 0) AS c FROM {customer} GROUP BY c_mktsegment")
@@ -78,7 +78,7 @@ query("agg_unnest", "SELECT w, count(*) AS n FROM (SELECT explode(split(p_name,
 query("agg_missing", "SELECT coalesce(lang, 'none') AS lang, count(l.quality) AS known, avg(coalesce(l.quality, 0)) AS q FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY coalesce(lang, 'none')")
 query("agg_over_join", "SELECT n.n_name, round(sum(l.l_extendedprice), 2) AS total FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name")
 query("agg_empty", "SELECT count(*) AS n, sum(l_quantity) AS q, min(l_tax) AS t FROM {lineitem} WHERE l_quantity < 0")
-query("agg_decimal", "SELECT l_returnflag, sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS total FROM {lineitem} GROUP BY l_returnflag")
+query("agg_decimal", "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2))) AS DECIMAL(22, 2)) AS total FROM {lineitem} GROUP BY l_returnflag")
 query("agg_distinct", "SELECT DISTINCT p_brand, p_type FROM {part}")
 query("agg_percentile", "SELECT event_type, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type")
 query("agg_distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM {orders} ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
