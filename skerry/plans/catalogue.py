@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from skerry.plans import operator_queries, relational_queries, text_queries
+from skerry.streaming import queries as streaming_queries
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = [text_queries, relational_queries, operator_queries, streaming_queries]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

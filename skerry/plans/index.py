@@ -51,7 +51,7 @@ class SearchIndex:
     def token_column(self, name: str) -> str:
         if name not in self.fields:
             raise ValueError(f"unknown field {name!r}")
-        return f"_tokens_{name}"
+        return "_tokens_" + name.replace(".", "_")
 
     # -- numbers of the whole index ------------------------------------------------------------
 
