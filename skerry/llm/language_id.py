@@ -107,13 +107,14 @@ class Parser:
         for t in range(int(lengths[0]) if len(lengths) else 0):
             n = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
             c = rows[:n, t].astype(np.int32)
-            to = self.moves[state[:, :n] + c]
+            now = state[:, :n]
+            to = self.moves[now + c]
             fails = to < 0
-            count[:, :n] += fails
+            count[:, :n] += fails | (now == self.roots)  # a phrase begins; an unknown letter is one by itself
             again = self.moves[self.roots + c]
             np.copyto(to, np.where(again < 0, self.roots, again), where=fails)
             state[:, :n] = to
-        return count + (lengths > 0)
+        return count
 
     def parse(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(folded characters, phrases by language) of each text."""

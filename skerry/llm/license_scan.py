@@ -42,6 +42,8 @@ TEMPLATES = [
     ("public-domain", "released into the public domain", False),
 ]
 K = 2
+#: Templates of up to so many pairs, base phrases and versions among them, must be covered whole.
+EXACT = 6
 #: Word pairs that would vote in any prose seed nothing by themselves.
 COMMON = {"a", "and", "any", "are", "at", "by", "for", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "with"}
 
@@ -87,7 +89,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", t
     spans = voted.groupBy("id", "rk", "n_words", "tid", "label", "base", "n_seeds", "mask", "span").agg(
         F.bit_or("votes").alias("votes"), F.min("diag").cast("long").alias("start"), F.max("rows").alias("rows"))
     spans = spans.withColumn("covered", F.bit_count(F.col("votes").bitwiseAND(F.col("mask"))) / F.col("n_seeds"))
-    return spans.filter((F.col("tid") < 0) | F.when(F.col("base"), F.col("covered") == 1.0).otherwise(F.col("covered") >= coverage))
+    return spans.filter((F.col("tid") < 0) | F.when(F.col("n_seeds") <= EXACT, F.col("covered") == 1.0).otherwise(F.col("covered") >= coverage))
 
 
 def scan_digest(docs: DataFrame, **options) -> DataFrame:
@@ -117,8 +119,8 @@ hits AS (SELECT r, i - 1 - tpos AS diag, s.* FROM (SELECT r, i, w[i] AS a, w[i +
 voted AS (SELECT r, tid, label, base, n_seeds, diag, bit_or(vote::BIGINT) AS votes FROM hits GROUP BY ALL),
 marked AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY r, tid ORDER BY diag) > 2, true) THEN 1 ELSE 0 END AS fresh FROM voted),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY r, tid ORDER BY diag) AS span FROM marked),
-spans AS (SELECT r, tid, label, base, span, min(diag)::BIGINT AS start, bit_count(bit_or(votes)) / n_seeds::DOUBLE AS covered FROM numbered GROUP BY r, tid, label, base, n_seeds, span),
-good AS (SELECT * FROM spans WHERE CASE WHEN base THEN covered = 1 ELSE covered >= 0.8 END),
+spans AS (SELECT r, tid, label, base, n_seeds, span, min(diag)::BIGINT AS start, bit_count(bit_or(votes)) / n_seeds::DOUBLE AS covered FROM numbered GROUP BY r, tid, label, base, n_seeds, span),
+good AS (SELECT * FROM spans WHERE CASE WHEN n_seeds <= {EXACT} THEN covered = 1 ELSE covered >= 0.8 END),
 by_doc AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM good GROUP BY r)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6)::DOUBLE AS score
