@@ -35,7 +35,10 @@ class ClusterIndex:
         n = rows.count()
         self.k = max(1, round(n * centroid_ratio)) if n >= flat_below else 1
         usable = rows.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(F.col(vector)))
-        sample = usable if self.k == 1 else usable.orderBy(F.xxhash64(key)).limit(self.k * samples_per_centroid)
+        if self.k == 1:
+            self.centroids, self.rows = [[]], usable.withColumn("cluster", F.lit(0)).drop("_v")
+            return
+        sample = usable.orderBy(F.xxhash64(key)).limit(self.k * samples_per_centroid)
         model = KMeans(k=self.k, seed=seed, featuresCol="_v", predictionCol="cluster", maxIter=10).fit(sample)
         self.centroids = [[float(x) for x in c] for c in model.clusterCenters()]
         self.rows = model.transform(usable).drop("_v")
@@ -46,6 +49,6 @@ class ClusterIndex:
 
     def search(self, query: list[float], k: int, probe: float = 0.02, least: int = 1, metric: str = "l2", where: str | None = None) -> DataFrame:
         """The k nearest among the nearest share `probe` of the clusters."""
-        by = sorted(range(len(self.centroids)), key=lambda c: sum((x - y) ** 2 for x, y in zip(self.centroids[c], query, strict=True)))
+        by = sorted(range(len(self.centroids)), key=lambda c: sum((x - y) ** 2 for x, y in zip(self.centroids[c], query)))
         near = by[: max(least, round(probe * self.k))]
         return knn(self.rows.where(F.col("cluster").isin(near)), query, k, metric, self.vector, self.key, where)
