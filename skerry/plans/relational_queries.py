@@ -84,12 +84,12 @@ query("agg_percentile", "SELECT event_type, round(percentile(value, 0.5), 6) AS
 query("agg_distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM {orders}) WHERE rn = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM {orders} ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
 
 # -- windows -------------------------------------------------------------------------------------------
-query("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM {part}")
+query("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM {part}", "SELECT p_partkey, (rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC))::INT AS r, (dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size))::INT AS d, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey))::INT AS n FROM {part}")
 query("win_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before_, lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS after_ FROM {orders}")
 query("win_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS s FROM {events}")
 query("win_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND CURRENT ROW) AS n FROM {orders}")
 query("win_running", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM {orders}")
-query("win_ntile_first", "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS tile, first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS best FROM {supplier}")
+query("win_ntile_first", "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS tile, first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS best FROM {supplier}", "SELECT s_suppkey, (ntile(4) OVER (ORDER BY s_acctbal, s_suppkey))::INT AS tile, first_value(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS best FROM {supplier}")
 query("facet_partition", "SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS in_lang, max(n_chars) OVER (PARTITION BY source) AS longest FROM {documents} WHERE contains(text, 'license')")
 
 # -- set operations, subqueries, CTEs ----------------------------------------------------------------------
@@ -108,7 +108,7 @@ query("order_range", "SELECT l_orderkey, l_linenumber FROM (SELECT *, struct(l_q
 
 # -- scalar functions --------------------------------------------------------------------------------------
 query("fn_string", "SELECT c_custkey, concat_ws('', c_name, NULL, '-', c_mktsegment) AS c, ascii(c_name) AS a, repeat('ab', 2) AS r, startswith(c_name, 'Cust') AS sw, endswith(c_name, '7') AS ew, replace(c_name, '#', '') AS rp, length(c_name) AS n, substring(c_name, 3, 4) AS s, reverse(c_mktsegment) AS rv, upper(c_name) AS u, lower(c_name) AS l, trim(concat(' ', c_name, ' ')) AS t FROM {customer}",
-      "SELECT c_custkey, concat(c_name, NULL, '-', c_mktsegment) AS c, ascii(c_name) AS a, repeat('ab', 2) AS r, starts_with(c_name, 'Cust') AS sw, ends_with(c_name, '7') AS ew, replace(c_name, '#', '') AS rp, length(c_name) AS n, substring(c_name, 3, 4) AS s, reverse(c_mktsegment) AS rv, upper(c_name) AS u, lower(c_name) AS l, trim(concat(' ', c_name, ' ')) AS t FROM {customer}")
+      "SELECT c_custkey, concat(c_name, NULL, '-', c_mktsegment) AS c, ascii(c_name) AS a, repeat('ab', 2) AS r, starts_with(c_name, 'Cust') AS sw, ends_with(c_name, '7') AS ew, replace(c_name, '#', '') AS rp, length(c_name)::INT AS n, substring(c_name, 3, 4) AS s, reverse(c_mktsegment) AS rv, upper(c_name) AS u, lower(c_name) AS l, trim(concat(' ', c_name, ' ')) AS t FROM {customer}")
 query("fn_math", "SELECT c_custkey, abs(c_acctbal) AS a, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(floor(c_acctbal) AS BIGINT) AS f, round(c_acctbal, 1) AS r, round(sqrt(abs(c_acctbal)), 6) AS q, round(power(c_custkey, 2), 2) AS p, CAST(sign(c_acctbal) AS INT) AS s, round(ln(abs(c_acctbal) + 1), 6) AS l, round(log10(abs(c_acctbal) + 1), 6) AS g FROM {customer}")
 query("fn_conditional", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'done') AS s, greatest(o_custkey, 500, NULL) AS g, least(o_custkey, 500) AS l, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, (o_orderstatus = 'P') IS TRUE AS t FROM {orders}")
 query("fn_date", "SELECT o_orderkey, year(o_orderdate) AS y, extract(month FROM o_orderdate) AS m, date_trunc('quarter', o_orderdate) AS q FROM {orders}", "SELECT o_orderkey, year(o_orderdate)::INT AS y, extract(month FROM o_orderdate)::INT AS m, date_trunc('quarter', o_orderdate)::TIMESTAMP AS q FROM {orders}")
