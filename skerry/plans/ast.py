@@ -242,4 +242,9 @@ class Parse(Query):
     conjunction: bool = False
 
 
+def negate(query: Query) -> Query:
+    """NOT query: all rows but those that match (the row itself counts 1)."""
+    return Boolean(must=(All(),), must_not=(query,))
+
+
 NODES = {k.__name__: k for k in list(globals().values()) if is_dataclass(k) and isinstance(k, type)}
