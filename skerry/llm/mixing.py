@@ -30,18 +30,21 @@ NULL = "\x00"
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by form: code, list, shout, legal, long or prose; `none` for texts without a word."""
-    n = F.length(text)
-    marks = n - F.length(F.translate(text, "{}#*$%&<>=;", ""))
-    bars = n - F.length(F.translate(text, "|\t", ""))
-    caps = n - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    return (F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "none").when(marks * 10 > n, "code").when(bars * 20 > n, "list").when(caps * 2 > n, "shout")
-            .when(F.contains(F.lower(text), F.lit("license")) | F.contains(F.lower(text), F.lit("rights reserved")), "legal").when(n > 8000, "long").otherwise("prose"))
+    """A coarse topic by form: code, list, shout, legal, long or prose; `none` for texts without a word.
+
+    Each pattern reads a text once (its repeats can't be matched in two ways).
+    """
+    filled = F.coalesce(text, F.lit(""))
+    return (F.when(F.trim(filled) == "", "none").when(filled.rlike(r"(?:[#*$%&]{3}[^#*$%&]++){5}"), "code").when(filled.rlike(r"(?: \|[^|]++){5}"), "list")
+            .when(filled.rlike(r"(?:[A-Z]{2,}+[^A-Za-z]++){8}"), "shout").when(F.contains(filled, F.lit("icense")) | F.contains(filled, F.lit("ights reserved")), "legal")
+            .when(F.length(filled) > 8000, "long").otherwise("prose"))
 
 
 def tokens_of(text: Column) -> Column:
-    """Words between blanks."""
-    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("long")
+    """Pieces between blanks, taken as the text's tokens (0 for an empty text)."""
+    filled = F.coalesce(text, F.lit(""))
+    blanks = sum((F.octet_length(filled) - F.octet_length(F.replace(filled, F.lit(c), F.lit(""))) for c in " \n\t"), F.lit(0))
+    return F.when(filled == "", 0).otherwise(blanks + 1).cast("long")
 
 
 def target_shares(tokens: dict[str, float], wanted: dict[str, float] | None, temper: float) -> dict[str, float]:
@@ -150,7 +153,7 @@ def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float,
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7, budget_share: float = 0.8, seed: int = 11, local_cells: int = 50_000, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """The input's rows with n_tokens, topic, weight (of the cell, a token), probability and kept."""
+    """The input's rows with mix_tokens, mix_topic, mix_weight (of the cell), mix_probability and mix_kept."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
     own = docs.select(F.struct(*docs.columns).alias("row"), value("source").alias("source"), value("lang").alias("lang"), F.coalesce(topic if topic is not None else topic_of(F.col(text_col)), F.lit(NULL)).alias("topic"), tokens_of(F.col(text_col)).alias("n_tokens"))
     cells = cut(_cells(own))
@@ -163,13 +166,13 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
         key = F.xxhash64(*MARGINS).alias("cell")
         rows = spread_join(own.select("*", key, F.xxhash64(F.col(f"row.{id_col}")).alias("h")), cut(made.select(key, "weight", "probability")), "cell", "h", 64)
     place = F.pmod(F.xxhash64(F.col(f"row.{id_col}"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    return rows.select("row.*", "n_tokens", F.col("topic").alias("mix_topic"), F.round("weight", 9).alias("mix_weight"), F.round("probability", 9).alias("mix_probability"), (place < F.col("probability")).alias("mix_kept"))
+    return rows.select("row.*", F.col("n_tokens").alias("mix_tokens"), F.col("topic").alias("mix_topic"), F.round("weight", 9).alias("mix_weight"), F.round("probability", 9).alias("mix_probability"), (place < F.col("probability")).alias("mix_kept"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     out = mix_sources(docs)
-    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), "n_tokens", F.col("mix_weight").alias("cell_weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("cell_weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 QUERIES = {"op4_mixing": op4_mixing}
