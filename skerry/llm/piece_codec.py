@@ -33,20 +33,23 @@ from pyspark.sql import DataFrame, SparkSession
 from skerry.llm.common import table
 
 BLANK = "▁"
-MEMO, PAIRS, LONG = 200_000, 500_000, 64
+MEMO, PARTS, PAIRS, LONG = 400_000, 100_000, 1_000_000, 64
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 
 
 class Memo(dict):
-    """word (its blank left out) -> ids; emptied when full, long words pass through."""
+    """word (its blank left out) -> ids. Full, it becomes the old generation, whose words come back when met."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.make(BLANK + word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(BLANK + word)
         if len(word) <= LONG:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -197,7 +200,7 @@ class PieceCodec:
         if (known := self.part.get(s)) is None:
             known = tuple(self.ids[p] for p in self.merged(s)) if BLANK * 3 in s else tuple(self.viterbi(s))
             if len(s) <= LONG and s[0] != BLANK:
-                if len(self.part) >= MEMO:
+                if len(self.part) >= PARTS:
                     self.part.clear()
                 self.part[s] = known
         return known
