@@ -143,9 +143,13 @@ class Analyzer:
             if language not in STOPWORDS:
                 raise ValueError(f"no stop words for {language!r}")
 
+    @property
+    def lowers(self) -> bool:
+        """Whether terms come in lower case; whole raw values never do."""
+        return self.lowercase and self.tokenizer not in ("literal", "raw", "keyword")
+
     def tokens(self, text: Column) -> Column:
         """array<struct<term, pos>> of a text column."""
-        raw = self.tokenizer in ("literal", "raw", "keyword")
         out = TOKENIZERS[self.tokenizer](**self.options)(text)
         on = lambda a, f: F.transform(a, lambda t: F.struct(f(t["term"]).alias("term"), t["pos"].alias("pos")))
         keep = lambda a, f: F.filter(a, lambda t: f(t["term"]))
@@ -155,7 +159,7 @@ class Analyzer:
             out = keep(out, lambda t: F.octet_length(t) <= self.max_bytes)
         if self.trim:
             out = keep(on(out, F.trim), lambda t: t != "")
-        if self.lowercase and not raw:
+        if self.lowers:
             out = on(out, F.lower)
         if self.stemmer:
             out = on(out, stem_english)
@@ -168,6 +172,13 @@ class Analyzer:
         words = sorted({w for language in self.stopwords_languages for w in STOPWORDS[language]})
         return keep(out, lambda t: ~t.isin(*words)) if words else out
 
+    def count(self, text: Column) -> Column:
+        """How many tokens a text has (null for null)."""
+        drops = self.min_bytes is not None or self.max_bytes is not None or self.trim or self.stopwords or self.alnum_only or self.stopwords_languages
+        if self.tokenizer == "simple" and not drops:
+            return F.when(text.isNotNull(), F.size(_all(text, WORD)))
+        return F.when(text.isNotNull(), F.size(self.tokens(text)))
+
     def terms(self, text: Column) -> Column:
         """array<string> of the terms in order."""
         return F.transform(self.tokens(text), lambda t: t["term"])

@@ -29,6 +29,17 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns) if columns else F.lit(0.0)
 
 
+def _all_of(parts: list) -> Column | None:
+    """The conjunction of what is known."""
+    known = [p for p in parts if p is not None]
+    return _every(known) if known else None
+
+
+def _one_of(parts: list) -> Column | None:
+    """The disjunction, if every part is known."""
+    return _any(parts) if parts and all(p is not None for p in parts) else None
+
+
 def fuzzy_match(term: Column, value: str, distance: int, prefix: bool = False, transpose: bool = True) -> Column:
     """Whether a term is within `distance` edits of `value` (or, with `prefix`, one of its prefixes is)."""
     if distance == 0:
@@ -94,6 +105,48 @@ class Compiler:
         starts = F.filter(places[0], lambda p: fits(1, p, p))
         return F.size(starts) > 0, F.size(starts)
 
+    # -- what a matching row can't do without ---------------------------------------------------
+
+    def needs(self, q: ast.Query) -> Column | None:
+        """A condition on the source columns that every match meets, None where there is none.
+
+        It holds no tokens, so it runs before the analysis, and plain parts of it reach the scan.
+        """
+        held = lambda f, terms: [self.index.may_hold(f, t) for t in terms]
+        if isinstance(q, (ast.Boost, ast.Const, ast.ScoreFilter)):
+            return self.needs(q.query)
+        if isinstance(q, ast.Term):
+            return self.index.may_hold(q.field, q.value)
+        if isinstance(q, ast.TermSet):
+            return _one_of(held(q.field, q.values))
+        if isinstance(q, ast.Match) and not q.distance:
+            parts = held(q.field, self.terms_of(q.field, q.text))
+            return _all_of(parts) if q.every else _one_of(parts)
+        if isinstance(q, (ast.Phrase, ast.PhrasePrefix)):
+            return _all_of(held(q.field, self.terms_of(q.field, q.text)))
+        if isinstance(q, ast.Near):
+            return _all_of([self._side_needs(q.field, q.left), self._side_needs(q.field, q.right)])
+        if isinstance(q, ast.Boolean):
+            if q.must:
+                return _all_of([self.needs(x) for x in q.must])
+            return None if q.minimum_should_match == 0 else _one_of([self.needs(x) for x in q.should])
+        if isinstance(q, ast.DisMax):
+            return _one_of([self.needs(x) for x in q.clauses])
+        if isinstance(q, ast.MoreLikeThis):
+            return _one_of(held(q.field, self.index.telling_terms(q)))
+        if isinstance(q, ast.Parse):
+            return self.needs(self.tree(q))
+        if isinstance(q, (ast.Where, ast.Range, ast.Exists)):
+            return self.compile(q)[0]
+        return None
+
+    def _side_needs(self, field: str, side) -> Column | None:
+        if isinstance(side, ast.Near):
+            return self.needs(side)
+        if isinstance(side, (tuple, list)):
+            return _one_of([self._side_needs(field, x) for x in side])
+        return None if len(side) > 1 and side[0] == side[-1] == "/" else self.index.may_hold(field, side)
+
     # -- nodes --------------------------------------------------------------------------------
 
     def compile(self, q: ast.Query) -> tuple[Column, Column]:
@@ -263,7 +316,11 @@ class Compiler:
         parts = [self.term(q.field, t) for t in terms]
         return self.guard(q.field, _any([m for m, _ in parts])), _sum([s for _, s in parts])
 
-    def _parse(self, q):
+    def tree(self, q: ast.Parse) -> ast.Query:
+        """The nodes of a query string."""
         names = list(self.index.fields)
         known = set(names) | set(self.index.df.columns)
-        return self.compile(parser.parse(q.text, [q.field] if q.field else names, q.lenient, q.conjunction, known))
+        return parser.parse(q.text, [q.field] if q.field else names, q.lenient, q.conjunction, known)
+
+    def _parse(self, q):
+        return self.compile(self.tree(q))

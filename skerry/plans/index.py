@@ -8,6 +8,7 @@ reads only its own terms. Corpus numbers come from all rows of the index, whatev
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,28 @@ class SearchIndex:
     def __post_init__(self):
         if self.where:
             self.df = self.df.where(self.where)
-        self.analysed = self.df.select("*", *[spec.analyzer.tokens(F.expr(spec.column)).alias(self.token_column(name)) for name, spec in self.fields.items()])
+        self.analysed = self.with_tokens(self.df)
+
+    def with_tokens(self, rows: DataFrame) -> DataFrame:
+        """The rows with a token column for each field.
+
+        A row number, compared with nothing it could fail, keeps the optimizer from copying the
+        analysis into every place that reads it; filters that need no tokens go in before.
+        """
+        once = F.monotonically_increasing_id() >= 0
+        return rows.select("*", *[F.when(once, self.raw_tokens(name)).alias(self.token_column(name)) for name in self.fields])
+
+    def raw_tokens(self, name: str):
+        spec = self.fields[name]
+        return spec.analyzer.tokens(F.expr(spec.column))
+
+    def may_hold(self, name: str, term: str):
+        """A cheap condition that every row holding the term meets, or None where terms are changed by the analyzer."""
+        spec = self.fields[name]
+        if spec.analyzer.stemmer or spec.analyzer.fold:
+            return None
+        text = F.expr(spec.column)
+        return F.contains(F.lower(text) if spec.analyzer.lowers else text, F.lit(term))
 
     def token_column(self, name: str) -> str:
         if name not in self.fields:
@@ -61,8 +83,10 @@ class SearchIndex:
         return self._numbers[key]
 
     def _lengths(self, name: str):
-        tokens = F.col(self.token_column(name))
-        return self._once(("lengths", name), lambda: self.analysed.agg(F.count(tokens), F.avg(F.size(tokens))).first())
+        self.token_column(name)
+        spec = self.fields[name]
+        n = spec.analyzer.count(F.expr(spec.column))
+        return self._once(("lengths", name), lambda: self.df.select(n.alias("n")).agg(F.count("n"), F.avg("n")).first())
 
     def n_docs(self, name: str) -> int:
         return self._lengths(name)[0]
@@ -74,8 +98,10 @@ class SearchIndex:
         """Takes the frequencies of all `terms` in one pass."""
         new = [t for t in dict.fromkeys(terms) if ("df", name, t) not in self._numbers]
         if new:
-            tokens = F.col(self.token_column(name))
-            row = self.analysed.agg(*[F.count_if(_holds(tokens, t)) for t in new]).first()
+            self.token_column(name)
+            tests = [self.may_hold(name, t) for t in new]
+            rows = self.df if any(t is None for t in tests) else self.df.where(reduce(lambda a, b: a | b, tests))
+            row = self.with_tokens(rows).agg(*[F.count_if(_holds(F.col(self.token_column(name)), t)) for t in new]).first()
             self._numbers |= {("df", name, t): n for t, n in zip(new, row, strict=True)}
 
     def doc_frequency(self, name: str, term: str) -> int:
@@ -100,6 +126,10 @@ class SearchIndex:
         return [r.term for r in self.dictionary(name).where(test(F.col("term"))).select("term").orderBy("term").limit(limit).collect()]
 
     def telling_terms(self, q: ast.MoreLikeThis) -> list[str]:
+        """The terms of the source text with the largest tf * idf."""
+        return self._once(("telling", q), lambda: self._telling_terms(q))
+
+    def _telling_terms(self, q: ast.MoreLikeThis) -> list[str]:
         """The terms of the source text with the largest tf * idf."""
         tokens = F.col(self.token_column(q.field))
         if q.text is not None:
@@ -126,8 +156,11 @@ class SearchIndex:
 
     def search(self, query: ast.Query, score: str = "score") -> DataFrame:
         """The rows that match, with their score, without the token columns."""
-        match, value = Compiler(self).compile(query)
-        found = self.analysed.where(match).withColumn(score, value)
+        compiler = Compiler(self)
+        match, value = compiler.compile(query)
+        needed = compiler.needs(query)
+        rows = self.analysed if needed is None else self.with_tokens(self.df.where(needed))
+        found = rows.where(match).withColumn(score, value)
         return found.drop(*[self.token_column(f) for f in self.fields])
 
     def scored(self, query: ast.Query, match: str = "matches", score: str = "score") -> DataFrame:

@@ -91,6 +91,12 @@ def test_nothing_to_look_for(index):
         assert ids(index, node) == []
 
 
+def test_raw_values_and_changed_terms_are_found(spark):
+    rows = spark.createDataFrame([(1, "Brand#1"), (2, "Façades"), (3, None)], "id int, v string")
+    for analyzer, term, want in ((Analyzer("literal"), "Brand#1", [1]), (Analyzer(fold=True, stemmer="english"), "facade", [2]), (Analyzer("ngram", {"low": 3, "high": 3}), "ran", [1]), (Analyzer(lowercase=False), "Brand", [1])):
+        assert ids(SearchIndex(rows, "id", {"v": FieldSpec("v", analyzer)}), q.Term("v", term)) == want
+
+
 def test_near(index):
     assert ids(index, q.Near("text", "red", 0, "fox")) == [0, 5, 6]
     assert ids(index, q.Near("text", "red", 0, "fox", ordered=True)) == [0, 5]
