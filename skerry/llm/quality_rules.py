@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import row_hash, table
+from skerry.llm.common import cut, row_hash, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -113,11 +113,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("id", "rk", *base, "removed_words", "kept", "rows")
 
 
-def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    verdict = quality_rules(docs, **limits).filter("kept").select(F.col("rk").alias("_rk")).distinct()
+def filter_documents(docs: DataFrame, few: int = 500_000, **limits) -> DataFrame:
+    """The documents that the rules keep, with all their columns.
+
+    The rejected rows' hashes are written and counted. Up to `few` (a few megabytes) they are
+    broadcast, and the texts stay where they are; more are joined by a shuffle.
+    """
+    gone = cut(quality_rules(docs, **limits).where(~F.col("kept")).select(F.col("rk").alias("_rk")).distinct())
     keyed = docs.withColumn("_rk", row_hash("doc_id", "text", "source"))
-    return keyed.join(verdict, "_rk", "left_semi").drop("_rk")
+    return keyed.join(F.broadcast(gone) if gone.count() <= few else gone.hint("merge"), "_rk", "left_anti").drop("_rk")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
