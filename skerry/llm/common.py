@@ -48,4 +48,4 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, salts: int =
     """`many` joined with `few` (one row a key) on `key`; the rows of one key go to `salts` tasks by the hash of `by`."""
     left = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")

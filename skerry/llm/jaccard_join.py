@@ -23,7 +23,8 @@ links: other documents with similarity of `threshold` or more, copies counted on
 Defined results: texts without words are linked only to equal texts, null or blank ones to nothing;
 identical rows count as copies; null ids are rows like any other (a class of null ids only is null).
 Shuffles carry sketches, tokens and, for candidate groups alone, sets; large groups are blocks of
-`block` members against each other, so that no group meets in one task.
+`block` members against each other, so that no group meets in one task. Nothing that grows with the
+input is broadcast: the joins are asked to merge.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def _blocks(rows: DataFrame, group: str, n: str, member: str, block: int) -> Dat
 def candidate_edges(members: DataFrame, runs: int, levels: int, small: int, block: int, threshold: float) -> DataFrame:
     """a, b: a spanning forest of the pairs that look alike in some bucket."""
     met = _blocks(buckets(members, runs, levels, small), "bucket", "n", "sid", max(small, block))
-    met = met.join(members.select("sid", "sketch"), "sid").select("key", "sid", "side", "mixed", "sketch")
+    met = met.join(members.select("sid", "sketch").hint("merge"), "sid").select("key", "sid", "side", "mixed", "sketch")
     least = max(1, math.floor(PLACES * threshold - 6.2 * math.sqrt(PLACES * threshold * (1 - threshold))))
 
     def run(batches):
@@ -296,10 +297,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = W
 
     groups = components(candidate_edges(members, runs, levels, small, block, threshold))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    inside = spread_join(groups, sizes, "root", "node").join(members.select(F.col("sid").alias("node"), "copies", F.col("first.rk").alias("rk")), "node")
+    inside = spread_join(groups, sizes, "root", "node").join(members.select(F.col("sid").alias("node"), "copies", F.col("first.rk").alias("rk")).hint("merge"), "node")
     inside = inside.select("root", "n", F.col("node").alias("sid"), "copies", "rk")
     # the first row of each member brings its text again; the set is made anew
-    texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(text_col).alias("t")).join(inside, "rk").dropDuplicates(["rk"]).select("root", "n", "sid", "copies", "t")
+    texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(text_col).alias("t")).join(inside.hint("merge"), "rk").dropDuplicates(["rk"]).select("root", "n", "sid", "copies", "t")
 
     def sets(batches):
         for b in batches:
@@ -313,12 +314,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = W
     found = cut(verified(_blocks(with_sets, "root", "n", "sid", block).select("key", "sid", "side", "mixed", "copies", "set"), threshold))
     links = found.where("kind = 0").groupBy(F.col("a").alias("sid")).agg(F.sum("b").alias("links"))
     classes = components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "sid")
-    named = members.select("sid", "copies", "first").join(links, "sid", "left").join(classes, "sid", "left")
+    named = members.select("sid", "copies", "first").join(links.hint("merge"), "sid", "left").join(classes.hint("merge"), "sid", "left")
     named = cut(named.select("sid", "copies", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sid").alias("root")))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     final = spread_join(named, heads, "root", "sid").select("sid", F.col("head.id").alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.rk").alias("head"))
     rows = base.select("id", "rk", "sid", F.col("size").cast("long").alias("n_shingles"))
-    out = rows.where("sid is not null").join(final, "sid").select("id", "rk", "class_id", "n_links", "n_shingles", "head")
+    out = rows.where("sid is not null").join(final.hint("merge"), "sid").select("id", "rk", "class_id", "n_links", "n_shingles", "head")
     lone = rows.where("sid is null").select("id", "rk", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles", F.col("rk").alias("head"))
     return out.union(lone)
 
@@ -327,7 +328,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each class left: the row of the smallest id (of identical rows, one)."""
     ones = jaccard_join(docs, **how).where("rk = head").select(F.col("rk").alias("_rk"))
     keyed = docs.withColumn("_rk", row_hash("doc_id", "text"))
-    return keyed.join(ones, "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    return keyed.join(ones.hint("merge"), "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
