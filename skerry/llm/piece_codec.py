@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skerry.llm.common import table
 
 BLANK = "▁"
-MEMO, PARTS, PAIRS, LONG = 400_000, 100_000, 1_000_000, 64
+MEMO, PARTS, PAIRS, LONG = 150_000, 50_000, 400_000, 64
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 
 
@@ -79,7 +79,7 @@ class PieceCodec:
             self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
         self.side_by_side = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.no_cut_free = any(BLANK in p.lstrip(BLANK) for p in self.rank)
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by both ids in one number
         self.part: dict[str, tuple[int, ...]] = {}
         self.memo = Memo(self._chunk)
 
@@ -137,7 +137,7 @@ class PieceCodec:
                 before, or_equal, tail = t, True, halves[tail][0]
         if len(self.apart) >= PAIRS:
             self.apart.clear()
-        self.apart[a, b] = known
+        self.apart[a << 24 | b] = known
         return known
 
     def viterbi(self, s: str) -> list[int]:
@@ -153,7 +153,7 @@ class PieceCodec:
                 n = held
             while n:
                 if (k := ids(s[i - n : i])) is not None and (before := nodes[-n]) is not None:
-                    ok = apart((before[1], k))
+                    ok = apart(before[1] << 24 | k)
                     if ok if ok is not None else self._apart(before[1], k):
                         nodes.append((before, k))
                         break
@@ -251,8 +251,8 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
     def run(batches):
         c = codec(vocabulary(model))
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 ids = [c.encode(x) for x in texts]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
