@@ -32,6 +32,7 @@ from skerry.llm.text_arrays import _FILLED, hash_spans, mix, pieces, word_spans
 
 WORDS, SHAPES, DIM, AROUND, RATES = 1 << 14, 1 << 12, 32, 2, 8
 HELD, CUT = 0, 0.3
+PART = 512  # rows judged at once
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x30:0x3A], _SHAPE[0x41:0x5B], _SHAPE[0x61:0x7B], _SHAPE[0x80:] = ord("9"), ord("A"), ord("a"), ord("a")
 _UPPER, _MARK = _SHAPE == ord("A"), (_SHAPE != ord("A")) & (_SHAPE != ord("a")) & (_SHAPE != ord("9")) & _FILLED
@@ -191,13 +192,16 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = _loaded(shared.value)
         return np.round(m.scores(texts), 9)
 
+    def parts(batches):
+        return (b.slice(at, PART) for b in batches for at in range(0, len(b), PART))
+
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             score = judged(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= CUT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     def kept(batches):
-        for b in batches:
+        for b in parts(batches):
             ok = judged(b.column(b.schema.get_field_index(text_col)).to_pylist()) >= CUT
             yield b.filter(pa.array(ok))
 
