@@ -4,7 +4,8 @@ Lines are trimmed, lower-cased and hashed. Within each host (`source`) the disti
 hold a line are counted. A line above the limits (`min_docs` texts and `max_share` of the host's
 distinct texts) is boilerplate: it is removed from every document of the host except the one with
 the smallest id that holds it, so one carrier remains. A document left with less than `min_left`
-of its words is depleted and rejected, besides those that fail the base rules.
+of its words is depleted and rejected, besides those that fail the base rules. `filter_documents`
+gives the kept documents with their texts rebuilt from the other lines, which stay as they are.
 
 Defined results: null texts have no words and fail; a null source is a host of its own; a null id
 is never a carrier; identical rows are judged alike and each keeps its row; further columns are ignored (or passed on by
@@ -64,9 +65,13 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
 
 
+def _line_key(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))))
+
+
 def _keys(lines: Column) -> Column:
     """(hash, words) of each distinct normalised line, with how often the text holds it kept apart."""
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))).alias("line"), F.size(_words(x)).alias("words")))
+    return F.transform(lines, lambda x: F.struct(_line_key(x).alias("line"), F.size(_words(x)).alias("words")))
 
 
 def features(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -95,7 +100,7 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", min_docs: int = 10, max_share: float = 0.1, min_left: float = 0.4) -> DataFrame:
-    """One row a document: id, row key, the base counts, base_failed, removed_words, kept."""
+    """One row a document: id, row key, the base counts, base_failed, removed_words, removed_lines (hashes), kept."""
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(source_col).alias("host"))
     rows = features(narrow, "t", "host").select("id", "host", row_hash("id", "t", "host").alias("rk"), *base, "_lines")
@@ -106,22 +111,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     limits = frequent_lines(docs, id_col, text_col, source_col, min_docs, max_share).withColumnRenamed("host", "fhost").withColumnRenamed("line", "fline")
     limits = limits.withColumn("fsalt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
     hit = rows.join(limits, (F.col("line") == F.col("fline")) & (F.col("salt") == F.col("fsalt")) & F.col("host").eqNullSafe(F.col("fhost")), "left")
-    gone = F.when(F.col("fline").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("words")).otherwise(0)
-    out = hit.groupBy("id", "rk", *base).agg(F.sum(gone).alias("gone"), F.count(F.when(F.col("line").isNull(), 1)).alias("rows"))
+    over = F.col("fline").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    gone = F.when(over, F.col("words")).otherwise(0)
+    out = hit.groupBy("id", "rk", *base).agg(F.sum(gone).alias("gone"), F.count(F.when(F.col("line").isNull(), 1)).alias("rows"), F.collect_set(F.when(over, F.col("line"))).alias("removed_lines"))
     out = out.withColumn("removed_words", (F.col("gone") / F.col("rows")).cast("long"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_left * F.col("n_words")))
-    return out.select("id", "rk", *base, "removed_words", "kept", "rows")
+    return out.select("id", "rk", *base, "removed_words", "removed_lines", "kept", "rows")
 
 
 def filter_documents(docs: DataFrame, few: int = 500_000, **limits) -> DataFrame:
-    """The documents that the rules keep, with all their columns.
+    """The documents that the rules keep, with all their columns; `text` without its removed lines, `n_chars` to match.
 
-    The rejected rows' hashes are written and counted. Up to `few` (a few megabytes) they are
-    broadcast, and the texts stay where they are; more are joined by a shuffle.
+    The hashes of the rejected rows, and of the rows that lose lines with those lines, are written and
+    counted. Up to `few` hashes (a few megabytes) they are broadcast, and the texts stay where they
+    are; more are joined by a shuffle.
     """
-    gone = cut(quality_rules(docs, **limits).where(~F.col("kept")).select(F.col("rk").alias("_rk")).distinct())
+    judged = quality_rules(docs, **limits).where(~F.col("kept") | (F.size("removed_lines") > 0))
+    changes = cut(judged.select(F.col("rk").alias("_rk"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.col("removed_lines")).alias("_gone")).dropDuplicates(["_rk"]))
+    hashes = changes.agg(F.coalesce(F.sum(1 + F.coalesce(F.size("_gone"), F.lit(0))), F.lit(0))).first()[0]
     keyed = docs.withColumn("_rk", row_hash("doc_id", "text", "source"))
-    return keyed.join(F.broadcast(gone) if gone.count() <= few else gone.hint("merge"), "_rk", "left_anti").drop("_rk")
+    left = keyed.join(F.broadcast(changes) if hashes <= few else changes.hint("merge"), "_rk", "left").where(F.coalesce("_kept", F.lit(True)))
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", _line_key(x))), "\n")
+    left = left.withColumn("text", F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

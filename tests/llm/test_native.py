@@ -65,6 +65,20 @@ def test_frequent_lines_go_and_depleted_documents_with_them(make):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, *range(12, 25)]
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_kept_texts_lose_their_frequent_lines(make, few):
+    common = " ".join(f"Share{i}" for i in range(20))
+    own = lambda k: "\n\n  " + " ".join(f"own{k}x{i}" for i in range(80)) + "\t\n"
+    texts = [common + own(k) + f" {common.upper()}  \n" + common for k in range(12)] + [own(20), None]
+    docs = make(texts, sources=["h"] * 14)
+    got = {r.doc_id: r for r in quality_rules.filter_documents(docs, few=few).collect()}
+    assert sorted(got) == list(range(13))
+    assert got[0].text == texts[0] and got[12].text == texts[12]
+    for k in range(1, 12):
+        assert got[k].text == own(k)[1:-1], "all copies of the line go, the others stay as they are"
+        assert got[k].n_chars == len(got[k].text)
+
+
 def check_shards(docs, rows, shards=8):
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     for s in range(shards):

@@ -33,3 +33,11 @@ def test_stages_one_by_one(spark, tmp_path):
 def test_run_gives_the_same_rows_twice(spark):
     a, b = (sorted((r.doc_id, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert a == b and a
+
+
+def test_rules_stage_writes_texts_without_frequent_lines(spark, tmp_path):
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(80))
+    rows = [(k, f"the same line everywhere\n{own(k)}", "en", "h", 0) for k in range(12)]
+    corpus_pipeline.apply_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).write.parquet(f"{tmp_path}/2")
+    got = {r.doc_id: (r.text, r.n_chars) for r in spark.read.parquet(f"{tmp_path}/2").collect()}
+    assert got == {0: (rows[0][1], 0)} | {k: (own(k), len(own(k))) for k in range(1, 12)}
