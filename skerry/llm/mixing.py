@@ -13,7 +13,8 @@ to the driver; beyond that, the same steps run as aggregations and joins over th
 
 Defined results: null sources and languages are values of their own; null and empty texts have no
 tokens, get their cell's probability and the topic `none`; rows with the same id share one fate; an
-empty table gives an empty result. Documents are read once for the sums and once for the choice; a
+empty table gives an empty result. Documents are read once for the sums and once for the choice, or
+only once where the result needs no texts (topics and tokens are then kept in a narrow table); a
 source with a third of all rows is a few partial sums.
 """
 
@@ -29,22 +30,29 @@ MARGINS = ("source", "lang", "topic")
 NULL = "\x00"
 
 
+def _count_of(text: Column, chars: str) -> Column:
+    """How many characters of `text` are in the class `chars`; the runs of others go in one linear pass."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]++", ""))
+
+
 def topic_of(text: Column) -> Column:
     """A coarse topic by form: code, list, shout, legal, long or prose; `none` for texts without a word.
 
-    Each pattern reads a text once (its repeats can't be matched in two ways).
+    Code, list and shout are shares of the text's characters: a tenth of marks, a twentieth of bars
+    and tabs, half of capitals.
     """
-    filled = F.coalesce(text, F.lit(""))
-    return (F.when(F.trim(filled) == "", "none").when(filled.rlike(r"(?:[#*$%&]{3}[^#*$%&]++){5}"), "code").when(filled.rlike(r"(?: \|[^|]++){5}"), "list")
-            .when(filled.rlike(r"(?:[A-Z]{2,}+[^A-Za-z]++){8}"), "shout").when(F.contains(filled, F.lit("icense")) | F.contains(filled, F.lit("ights reserved")), "legal")
-            .when(F.length(filled) > 8000, "long").otherwise("prose"))
+    n = F.length(text)
+    return (F.when(~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"), "none").when(_count_of(text, "{}#*$%&<>=;") * 10 > n, "code").when(_count_of(text, r"|\t") * 20 > n, "list")
+            .when(_count_of(text, "A-Z") * 2 > n, "shout").when(F.lower(text).rlike("license|rights reserved"), "legal").when(n > 8000, "long").otherwise("prose"))
 
 
 def tokens_of(text: Column) -> Column:
-    """Pieces between blanks, taken as the text's tokens (0 for an empty text)."""
-    filled = F.coalesce(text, F.lit(""))
-    blanks = sum((F.octet_length(filled) - F.octet_length(F.replace(filled, F.lit(c), F.lit(""))) for c in " \n\t"), F.lit(0))
-    return F.when(filled == "", 0).otherwise(blanks + 1).cast("long")
+    """Words between blanks."""
+    spaced = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    # a single plain character is split without a regular expression
+    return F.size(F.array_remove(F.split(spaced, " ", -1), "")).cast("long")
 
 
 def target_shares(tokens: dict[str, float], wanted: dict[str, float] | None, temper: float) -> dict[str, float]:
@@ -152,10 +160,15 @@ def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float,
     return now.select(*MARGINS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(high) * F.col("weight") / F.col("tokens"))).otherwise(1.0).alias("probability"))
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7, budget_share: float = 0.8, seed: int = 11, local_cells: int = 50_000, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """The input's rows with mix_tokens, mix_topic, mix_weight (of the cell), mix_probability and mix_kept."""
+def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7, budget_share: float = 0.8, seed: int = 11, local_cells: int = 50_000, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, keep_text: bool = True) -> DataFrame:
+    """The input's rows with mix_tokens, mix_topic, mix_weight (of the cell), mix_probability and mix_kept.
+
+    Without `keep_text` the rows come without their texts, and topics and tokens are taken only once.
+    """
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
-    own = docs.select(F.struct(*docs.columns).alias("row"), value("source").alias("source"), value("lang").alias("lang"), F.coalesce(topic if topic is not None else topic_of(F.col(text_col)), F.lit(NULL)).alias("topic"), tokens_of(F.col(text_col)).alias("n_tokens"))
+    columns = [c for c in docs.columns if keep_text or c != text_col]
+    own = docs.select(F.struct(*columns).alias("row"), value("source").alias("source"), value("lang").alias("lang"), F.coalesce(topic if topic is not None else topic_of(F.col(text_col)), F.lit(NULL)).alias("topic"), tokens_of(F.col(text_col)).alias("n_tokens"))
+    own = own if keep_text else cut(own)
     cells = cut(_cells(own))
     n = cells.count()
     made = (_local if n <= local_cells else _spread)(cells, targets or {}, temper, budget_share)
@@ -171,7 +184,7 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = mix_sources(docs)
+    out = mix_sources(docs, keep_text=False)
     return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("cell_weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 

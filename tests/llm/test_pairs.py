@@ -184,3 +184,17 @@ def test_mixing_of_odd_rows(odd):
     assert all(len(x) == 1 for x in fates.values())
     assert mixing.mix_sources(odd.limit(0)).collect() == []
     assert out.where(F.col("mix_probability").isNull()).count() == 0
+
+
+def test_topics_are_shares_and_tokens_are_words(make):
+    prose = "some plain words in a row " * 100
+    want = {
+        prose + "### x " * 5: "prose", prose + "| x " * 5: "prose", prose + "AB CD " * 8: "prose", "if (a) {\n        b = c;\n} <d> = {e};": "code",
+        "a\tb\tc\nd\te\tf": "list", "ALL OF THIS IS CAPITALS": "shout", prose + "THE LICENSE": "legal", prose + "All RIGHTS Reserved": "legal", "\n \t\n": "none", prose * 4: "long"}
+    docs = make(list(want))
+    for keep in (True, False):
+        rows = mixing.mix_sources(docs, keep_text=keep)
+        assert ("text" in rows.columns) == keep
+        got = {r.doc_id: r for r in rows.collect()}
+        for k, (text, topic) in enumerate(want.items()):
+            assert (got[k].mix_topic, got[k].mix_tokens) == (topic, len(text.split())), text[-40:]
