@@ -9,7 +9,8 @@ falls below its probability, so the choice is the same in every run.
 Targets: a dictionary of shares for each margin (values not named share what is left, in proportion
 to their tokens), or by default the tokens' shares raised to `temper` (below 1 lifts small ones).
 Raking is a sum over cells only: where they are few (`local_cells`, counted first), their sums come
-to the driver; beyond that, the same steps run as aggregations and joins over the cell table.
+to the driver; beyond that, the same steps run as aggregations and joins over the cell table, to the
+same tolerance and round limit. Where the limit comes first, a warning names the deviation left.
 
 Defined results: null sources and languages are values of their own; null and empty texts have no
 tokens, get their cell's probability and the topic `none`; rows with the same id share one fate; an
@@ -20,6 +21,8 @@ source with a third of all rows is a few partial sums.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from skerry.llm.common import cut, spread_join, table
 
 MARGINS = ("source", "lang", "topic")
 NULL = "\x00"
+ROUNDS, TOLERANCE = 100, 1e-9  # of raking, on either path
 
 
 def _count_of(text: Column, chars: str) -> Column:
@@ -71,7 +75,11 @@ def target_shares(tokens: dict[str, float], wanted: dict[str, float] | None, tem
     return {k: v / sum_ for k, v in raised.items()}
 
 
-def rake(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def _report(worst: float, rounds: int) -> None:
+    warnings.warn(f"raking stopped after {rounds} rounds; a share was still {worst:.3g} off its target in the last", RuntimeWarning, stacklevel=3)
+
+
+def rake(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Cell weights (shares of the mixture) whose margins meet the targets; `codes`: a row for each margin."""
     w = tokens / max(tokens.sum(), 1e-300)
     for _ in range(rounds):
@@ -82,6 +90,8 @@ def rake(tokens: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], round
             w = w * np.divide(target, have, out=np.zeros_like(target), where=have > 0)[code]
         if worst < tolerance:
             break
+    else:
+        _report(worst, rounds)
     return w
 
 
@@ -122,7 +132,7 @@ def _local(cells: DataFrame, wanted: dict, temper: float, budget_share: float) -
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
 
 
-def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float, rounds: int = 15) -> DataFrame:
+def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The same over the cell table, by aggregations and joins; lineage is cut in every round."""
     spark = cells.sparkSession
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -147,8 +157,10 @@ def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float,
             worst = max(worst, have.agg(F.max("off")).first()[0] or 0.0)
             now = spread_join(now, have.drop("off"), m, "tokens").withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         now = cut(now)
-        if worst < 1e-7:
+        if worst < tolerance:
             break
+    else:
+        _report(worst, rounds)
     # the factor by narrowing: each pass sums the cell table for many factors at once
     budget, low, high = budget_share * total, 0.0, float(max(total, 1)) * 1e6
     if budget >= total:

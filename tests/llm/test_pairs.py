@@ -1,5 +1,6 @@
 """The Jaccard join, components, top-k search and mixing against brute force."""
 
+import inspect
 import itertools
 import os
 import random
@@ -198,3 +199,14 @@ def test_topics_are_shares_and_tokens_are_words(make):
         got = {r.doc_id: r for r in rows.collect()}
         for k, (text, topic) in enumerate(want.items()):
             assert (got[k].mix_topic, got[k].mix_tokens) == (topic, len(text.split())), text[-40:]
+
+
+def test_raking_has_one_limit_on_both_paths_and_reports_what_is_left(spark):
+    for name in ("rounds", "tolerance"):
+        assert inspect.signature(mixing._spread).parameters[name].default == inspect.signature(mixing.rake).parameters[name].default
+    rows = [("a", "x", "p", 1000), ("a", "y", "p", 2), ("b", "y", "p", 1000)]
+    want = {"source": {"a": 0.25, "b": 0.75}, "lang": {"x": 0.2, "y": 0.8}}
+    with pytest.warns(RuntimeWarning, match="after 2 rounds"):
+        mixing.rake(np.array([r[3] for r in rows], dtype=float), np.array([[0, 0, 1], [0, 1, 1]]), [np.array([0.25, 0.75]), np.array([0.2, 0.8])], rounds=2)
+    with pytest.warns(RuntimeWarning, match="after 1 rounds"):
+        mixing._spread(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), want, 0.7, 0.5, rounds=1)
