@@ -8,9 +8,15 @@ so the table has one backpointer a place, and the ids are the library's own.
 
 Only a window of the longest piece's length stays open. Ids are committed whenever all backpointer
 paths of the window meet in one boundary. Between characters that stand side by side in no piece,
-and before every blank that follows something else, all paths must meet; texts are cut there first,
-and the ids of such pieces of text are kept in a bounded memo. Runs of three or more blanks, whose
-pieces share one score, are merged directly.
+and before every blank that follows something else, all paths must meet: texts are cut there first
+into parts. Arrow numbers the distinct parts of a block of texts; only those that no bounded memo
+knows are encoded, in sorted order, so that each keeps the table of the prefix that it shares with
+the one before. The ids of all texts are then gathered by number. Runs of three or more blanks,
+whose pieces share one score, are merged directly.
+
+Each part's ids are decoded once, when they are made; a text's round trip holds when those of all its
+parts do. Memory is bounded by the memo and a block: texts are taken in blocks of about `BLOCK`
+characters, and longer ones are cut before blanks (a run of that length without one stays whole).
 
 Defined results: null and empty texts have no ids; identical rows each keep their row; characters
 outside the vocabulary become their UTF-8 bytes' pieces; a text holding U+2581 decodes with blanks
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from zlib import crc32
@@ -33,27 +39,50 @@ from pyspark.sql import DataFrame, SparkSession
 from skerry.llm.common import table
 
 BLANK = "▁"
-MEMO, PARTS, PAIRS, LONG = 150_000, 50_000, 400_000, 64
-CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
+MEMO, PAIRS, LONG, BLOCK = 200_000, 400_000, 64, 4 << 20
+BREAK = re.compile(f"(?<=[^ {BLANK}])[ {BLANK}]")  # a blank that follows something else
+ROWS = 1024  # texts encoded at once
 
 
-class Memo(dict):
-    """word (its blank left out) -> ids. Full, it becomes the old generation, whose words come back when met."""
+class Memo:
+    """part -> ids. Full, it becomes the old generation, whose parts come back when they are met again."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self):
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.make(BLANK + word)
-        if len(word) <= LONG:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
+    def get(self, part: str) -> tuple[int, ...] | None:
+        if (ids := self.new.get(part)) is None and (ids := self.old.get(part)) is not None:
+            self.put(part, ids)
         return ids
 
+    def put(self, part: str, ids: tuple[int, ...]) -> None:
+        if len(part) <= LONG:
+            if len(self.new) >= MEMO:
+                self.old, self.new = self.new, {}
+            self.new[part] = ids
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str], list[bool]]]:
+    """Texts in blocks of about `BLOCK` characters: (number, stretch, whether the text begins with it) of each."""
+    which, held, first, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        at, text = 0, text or ""
+        while at < len(text):
+            end = at + BLOCK - size
+            found = BREAK.search(text, end) if end < len(text) else None
+            end = found.start() if found else len(text)
+            which.append(i)
+            held.append(text[at:end])
+            first.append(not at)
+            size += len(held[-1])
+            at = end
+            if size >= BLOCK:
+                yield which, held, first
+                which, held, first, size = [], [], [], 0
+    if held:
+        yield which, held, first
+
 
 class PieceCodec:
     """Encoder and decoder of one model file; made once in each worker."""
@@ -77,11 +106,18 @@ class PieceCodec:
         self.reach: dict[str, int] = {}  # the longest piece that ends in these three characters
         for p in self.ids:
             self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 2))
-        self.side_by_side = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
-        self.no_cut_free = any(BLANK in p.lstrip(BLANK) for p in self.rank)
+        letters = sorted({c for p in self.rank for c in p})
+        self.letter = np.zeros(0x110000, dtype=np.uint16)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.side_by_side = np.zeros((len(letters) + 1,) * 2, dtype=bool)
+        pairs = np.array(sorted({(ord(p[k]), ord(p[k + 1])) for p in self.rank for k in range(len(p) - 1)})).reshape(-1, 2)
+        self.side_by_side[self.letter[pairs[:, 0]], self.letter[pairs[:, 1]]] = True
+        if not any(BLANK in p.lstrip(BLANK) for p in self.rank):  # no piece goes on over a blank
+            other = np.arange(len(letters) + 1) != self.letter[ord(BLANK)]
+            self.side_by_side[other, self.letter[ord(BLANK)]] = False
         self.apart: dict[int, bool] = {}  # by both ids in one number
-        self.part: dict[str, tuple[int, ...]] = {}
-        self.memo = Memo(self._chunk)
+        self.memo = Memo()
+        self.faults: set[str] = set()  # parts whose ids do not decode to them
 
     def merged(self, s: str, last: dict | None = None) -> list[str]:
         """The pieces that merging by rank, leftmost first among equals, leaves; `last` gets the two halves of each."""
@@ -140,14 +176,16 @@ class PieceCodec:
         self.apart[a << 24 | b] = known
         return known
 
-    def viterbi(self, s: str) -> list[int]:
-        """The ids of `s`, of vocabulary characters only, with a bounded window."""
-        if (k := self.ids.get(s)) is not None:
-            return [k]
-        ids, apart, width, reach = self.ids.get, self.apart.get, self.longest, self.reach.get
+    def viterbi(self, s: str, nodes: list, shared: int = 0, window: int = 0) -> list[int]:
+        """The ids of `s`, of vocabulary characters only.
+
+        `nodes` holds the places' (node before, id) and comes filled up to `shared` characters; with
+        a `window` it is kept that short, and ids that all paths share are committed.
+        """
+        ids, apart, reach = self.ids.get, self.apart.get, self.reach.get
         out: list[int] = []
-        nodes: list = [(None, -1)]  # of the last `width` places: (node before, id)
-        for i in range(1, len(s) + 1):
+        del nodes[shared + 1 :]
+        for i in range(shared + 1, len(s) + 1):
             n = reach(s[i - 3 : i], 2) if i > 2 else i
             if n > (held := len(nodes)):
                 n = held
@@ -160,8 +198,8 @@ class PieceCodec:
                 n -= 1
             else:
                 nodes.append(None)
-            if len(nodes) > 4 * width:
-                del nodes[:-width]
+            if window and len(nodes) > 4 * window:
+                del nodes[:-window]
                 self._commit(nodes, out)
         path, node = [], nodes[-1]
         while node[0] is not None:
@@ -193,38 +231,78 @@ class PieceCodec:
                 fresh.setdefault(id(node), (fresh[id(node[0])], node[1]))
         nodes[:] = [None if node is None else fresh[id(node)] for node in nodes]
 
-    def _part(self, s: str) -> tuple[int, ...]:
-        """Ids of a stretch inside which any two neighbours share some piece."""
-        if len(s) == 1:
-            return (self.ids[s],) if s in self.ids else tuple(self.byte[b] for b in s.encode("utf-8", "replace"))
-        if (known := self.part.get(s)) is None:
-            known = tuple(self.ids[p] for p in self.merged(s)) if BLANK * 3 in s else tuple(self.viterbi(s))
-            if len(s) <= LONG and s[0] != BLANK:
-                if len(self.part) >= PARTS:
-                    self.part.clear()
-                self.part[s] = known
-        return known
-
-    def _chunk(self, s: str) -> tuple[int, ...]:
-        pairs = self.side_by_side
-        at, out = 0, ()
-        for i in range(1, len(s)):
-            if s[i - 1 : i + 1] not in pairs:
-                out += self._part(s[at:i])
-                at = i
-        return out + self._part(s[at:])
+    def encode_parts(self, parts: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Each part with its ids; inside a part any two neighbours share some piece. Sorted parts share prefixes."""
+        nodes: list = [(None, -1)]
+        before = ""
+        for s in sorted(parts):
+            if (k := self.ids.get(s)) is not None:
+                yield s, (k,)
+            elif len(s) == 1:
+                yield s, tuple(self.byte[b] for b in s.encode("utf-8", "replace"))
+            elif BLANK * 3 in s:
+                yield s, tuple(self.ids[p] for p in self.merged(s))
+            elif len(s) > LONG:
+                yield s, tuple(self.viterbi(s, [(None, -1)], window=self.longest))
+            else:
+                shared, most = 0, min(len(s), len(before))
+                while shared < most and s[shared] == before[shared]:
+                    shared += 1
+                yield s, tuple(self.viterbi(s, nodes, shared))
+                before = s
+
+    def cut(self, stretches: list[str], first: list[bool]) -> tuple[pa.StringArray, np.ndarray]:
+        """All parts of the stretches in order, and where each stretch's parts begin (and the last ends)."""
+        spaced = [(BLANK if f else "") + x.replace(" ", BLANK) for x, f in zip(stretches, first, strict=True)]
+        codes = self.letter[np.frombuffer("".join(spaced).encode("utf-32-le", "replace"), dtype="<u4")]
+        data = np.frombuffer("".join(spaced).encode("utf-8", "replace"), dtype=np.uint8)
+        begins = np.concatenate(([0], np.cumsum([len(x) for x in spaced])))
+        edge = np.ones(len(codes) + 1, dtype=bool)
+        edge[1:-1] = ~self.side_by_side[codes[:-1], codes[1:]]
+        edge[begins] = True
+        at = np.flatnonzero(edge)
+        places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[at].astype(np.int32)
+        array = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(places), pa.py_buffer(data))
+        return array, np.searchsorted(at, begins)
+
+    def encode_block(self, stretches: list[str], first: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all stretches, where each one's begin, whether each one's decode to it)."""
+        parts, begins = self.cut(stretches, first)
+        numbered = parts.dictionary_encode()
+        distinct, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        known = [self.memo.get(p) for p in distinct]
+        new = {p: k for k, (p, ids) in enumerate(zip(distinct, known, strict=True)) if ids is None}
+        of = self.bytes
+        for p, ids in self.encode_parts(list(new)):
+            known[new[p]] = ids
+            self.memo.put(p, ids)
+            if b"".join([of[i] for i in ids]) != p.encode():
+                self.faults.add(p)
+        n = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+        flat = np.fromiter(chain.from_iterable(known), dtype=np.int32, count=int(n.sum()))
+        starts, counts = (np.cumsum(n) - n)[number], n[number]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+        bad = np.array([p in self.faults for p in distinct])[number] if self.faults else np.zeros(len(number), dtype=bool)
+        wrong = np.diff(np.concatenate(([0], np.cumsum(bad)))[begins])
+        sound = np.array([not k and BLANK not in x for k, x in zip(wrong.tolist(), stretches, strict=True)])
+        return ids, ends[begins], sound
+
+    def encode_many(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of each whole text, and whether they decode to it."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        trips = [True] * len(texts)
+        for which, stretches, first in blocks(texts):
+            ids, begins, sound = self.encode_block(stretches, first)
+            for k, i in enumerate(which):
+                out[i].append(ids[begins[k] : begins[k + 1]])
+                trips[i] &= bool(sound[k])
+        none = np.zeros(0, dtype=np.int32)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out], trips
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of the whole text."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        if self.no_cut_free:
-            return np.array(self._chunk(BLANK + text.replace(" ", BLANK)), dtype=np.int32)
-        if text[0] != " " and "  " not in text and BLANK not in text:
-            words = text.split(" ")
-            return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, words)), dtype=np.int32)
-        chunks = CHUNK.findall(BLANK + text.replace(" ", BLANK))
-        return np.fromiter(chain.from_iterable(self.memo[c[1:]] for c in chunks), dtype=np.int32)
+        """The ids of one whole text."""
+        return self.encode_many([text])[0][0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, without the blank that encoding puts in front."""
@@ -251,16 +329,14 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
     def run(batches):
         c = codec(vocabulary(model))
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                ids = [c.encode(x) for x in texts]
+            for at in range(0, len(b), ROWS):
+                part = b.slice(at, ROWS)
+                ids, trips = c.encode_many(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 columns = [
                     part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)),
-                    pa.array([crc32(x.astype("<i4").tobytes()) for x in ids], pa.int64()),
-                    pa.array([c.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)], pa.bool_())]
+                    pa.array([crc32(np.ascontiguousarray(x, dtype="<i4")) for x in ids], pa.int64()), pa.array(trips, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -78,6 +78,24 @@ def test_small_memos_change_nothing(pieces, monkeypatch):
     assert ours.encode(text).tolist() == theirs.encode(text)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_blocks_change_nothing(pieces, monkeypatch, size):
+    ours, theirs = pieces
+    monkeypatch.setattr(piece_codec, "BLOCK", size)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["word", " ", "  ", "▁", "\n", "é,", "日", "x" * 70]) for _ in range(rng.randint(0, 30))) for _ in range(400)] + [None, "", "   ", "▁"]
+    ids, trips = ours.encode_many(texts)
+    assert [x.tolist() for x in ids] == [theirs.encode(t or "") for t in texts]
+    assert trips == ["▁" not in (t or "") and ours.decode(x.tolist()) == (t or "") for t, x in zip(texts, ids, strict=True)]
+
+
+def test_a_part_that_does_not_decode_is_no_round_trip(pieces, monkeypatch):
+    ours, _ = pieces
+    fresh = piece_codec.PieceCodec(piece_codec.vocabulary("piece_bpe_32k.model"))
+    monkeypatch.setitem(fresh.bytes, int(ours.encode("the")[0]), b"tha")
+    assert [fresh.encode_many(["a the b", "a b", "the"])[1] for _ in range(2)] == [[False, True, False]] * 2
+
+
 def test_round_trip_of_odd_rows(odd, pieces):
     encoded = piece_codec.encode_pieces(odd)
     rows = encoded.collect()
