@@ -1,19 +1,26 @@
 """Analyzers: tokenizers and token filters as Spark columns.
 
 An analysed text is array<struct<term: string, pos: int>>. Filters drop or change terms and never
-renumber positions, so removed stop words leave gaps. Tokenizers treat ASCII letters and digits and
-all characters beyond ASCII as word characters unless said otherwise. A null text stays null.
+renumber positions, so removed stop words leave gaps. Letters and digits are told by their Unicode
+properties in every script. A null text stays null.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+WORD = r"[\p{L}\p{N}]+"
+IDEOGRAPH = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
+#: Letters (with their marks) but those of scripts written without blanks; joints that keep letters, and digits, together.
+_LETTER = r"[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]"
+_LETTERS, _DIGITS = rf"{_LETTER}++(?:['’.:·]{_LETTER}++)*+", r"\p{N}++(?:[.,;'’]\p{N}++)*+"
+UNICODE_WORD = rf"[\p{{IsHan}}\p{{IsHiragana}}]|(?<!_)_*+(?:(?:{_LETTERS}|{_DIGITS}|\p{{IsKatakana}}++)_*+)++"
 
 
 def _numbered(terms: Column) -> Column:
@@ -30,8 +37,13 @@ def simple(text: Column) -> Column:
 
 
 def unicode_words(text: Column) -> Column:
-    """Words; letters joined by an apostrophe or digits by a point stay together."""
-    return _numbered(_all(text, r"[0-9]+(?:[.,][0-9]+)+|[0-9A-Za-z_\x{80}-\x{10FFFF}]+(?:'[A-Za-z]+)*"))
+    """Words by Unicode's default rules: a joint (apostrophe, point, ...) inside letters or digits and any underscore keep a word whole; ideographs and hiragana stand alone."""
+    return _numbered(_all(text, UNICODE_WORD))
+
+
+def icu(language: str = "en", country: str = "") -> Callable[[Column], Column]:
+    """Words at the word breaks of a locale."""
+    return lambda text: _numbered(F.flatten(F.sentences(text, F.lit(language), F.lit(country))))
 
 
 def whitespace(text: Column) -> Column:
@@ -73,21 +85,24 @@ def regex_pattern(pattern: str) -> Callable[[Column], Column]:
 
 def source_code(text: Column) -> Column:
     """Splits at punctuation, underscores and changes of case."""
-    parted = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return _numbered(_all(parted, r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    parted = F.regexp_replace(F.regexp_replace(text, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2")
+    return _numbered(_all(parted, WORD))
 
 
 def chinese_compatible(text: Column) -> Column:
-    """Each ideograph is a token; other words stay whole."""
-    return _numbered(_all(text, r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]|[0-9A-Za-z]+"))
+    """Each ideograph is a token; other runs of letters and digits stay whole."""
+    return _numbered(_all(text, rf"[{IDEOGRAPH}]|[\p{{L}}\p{{N}}&&[^{IDEOGRAPH}]]+"))
 
 
 TOKENIZERS: dict[str, Callable[..., Callable[[Column], Column]]] = {
     "simple": lambda: simple, "unicode_words": lambda: unicode_words, "whitespace": lambda: whitespace, "literal": lambda: literal, "literal_normalized": lambda: literal,
-    "ngram": ngram, "edge_ngram": edge_ngram, "regex_pattern": regex_pattern, "source_code": lambda: source_code, "chinese_compatible": lambda: chinese_compatible, "icu": lambda: unicode_words,
+    "ngram": ngram, "edge_ngram": edge_ngram, "regex_pattern": regex_pattern, "source_code": lambda: source_code, "chinese_compatible": lambda: chinese_compatible, "icu": icu,
     "raw": lambda: literal, "keyword": lambda: literal,
 }
 
+#: Languages whose stop words come with Spark.
+SPARK_LANGUAGES = ("danish", "dutch", "finnish", "hungarian", "italian", "norwegian", "portuguese", "russian", "swedish", "turkish")
+
 #: Stop words of the languages in the test tables.
 STOPWORDS: dict[str, Sequence[str]] = {
     "english": "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split(),
@@ -97,11 +112,42 @@ STOPWORDS: dict[str, Sequence[str]] = {
 }
 
 
+def stop_words(language: str) -> Sequence[str]:
+    """The stop words of a language: those above, or the lists that come with Spark (these need a session)."""
+    if language in STOPWORDS:
+        return STOPWORDS[language]
+    from pyspark.ml.feature import StopWordsRemover
+
+    if language not in SPARK_LANGUAGES:
+        raise ValueError(f"no stop words for {language!r}")
+    return StopWordsRemover.loadDefaultStopWords(language)
+
+
+#: Letters that no decomposition takes apart.
+APART = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i"}
+
+
+@lru_cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """(characters, their ASCII characters, longer replacements), from Unicode's compatibility decompositions."""
+    one, longer = {}, {k: v for k, v in APART.items() if len(v) > 1}
+    one |= {k: v for k, v in APART.items() if len(v) == 1}
+    for o in [*range(0xA0, 0x250), *range(0x1E00, 0x2070), *range(0x2150, 0x2190), *range(0x2460, 0x24FF), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        c = chr(o)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c not in APART and plain.isascii() and plain.isalnum():
+            (one if len(plain) == 1 else longer)[c] = plain
+    return "".join(one), "".join(one.values()), longer
+
+
 def ascii_fold(term: Column) -> Column:
-    """Latin letters without their marks."""
-    marked = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇ"
-    plain = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
-    return F.regexp_replace(F.regexp_replace(F.translate(term, marked, plain), "ß", "ss"), "[æÆ]", "ae")
+    """Letters and digits without their marks, in ASCII where they have such a form."""
+    marked, plain, longer = _foldings()
+    folded = F.translate(term, marked, plain)
+    many = folded
+    for c, to in longer.items():
+        many = F.replace(many, F.lit(c), F.lit(to))
+    return F.when(folded.rlike("[" + "".join(longer) + "]"), many).otherwise(folded)
 
 
 def stem_english(term: Column) -> Column:
@@ -122,7 +168,7 @@ class Analyzer:
     the languages' stop words.
     """
 
-    tokenizer: str = "simple"
+    tokenizer: str = "unicode_words"
     options: dict = field(default_factory=dict)
     lowercase: bool = True
     min_bytes: int | None = None
@@ -140,7 +186,7 @@ class Analyzer:
         if self.stemmer not in (None, "english"):
             raise ValueError(f"no stemmer for {self.stemmer!r}")
         for language in self.stopwords_languages:
-            if language not in STOPWORDS:
+            if language not in STOPWORDS and language not in SPARK_LANGUAGES:
                 raise ValueError(f"no stop words for {language!r}")
 
     @property
@@ -169,14 +215,14 @@ class Analyzer:
             out = on(out, ascii_fold)
         if self.alnum_only:
             out = keep(out, lambda t: t.rlike("^[0-9A-Za-z]+$"))
-        words = sorted({w for language in self.stopwords_languages for w in STOPWORDS[language]})
+        words = sorted({w for language in self.stopwords_languages for w in stop_words(language)})
         return keep(out, lambda t: ~t.isin(*words)) if words else out
 
     def count(self, text: Column) -> Column:
         """How many tokens a text has (null for null)."""
         drops = self.min_bytes is not None or self.max_bytes is not None or self.trim or self.stopwords or self.alnum_only or self.stopwords_languages
-        if self.tokenizer == "simple" and not drops:
-            return F.when(text.isNotNull(), F.size(_all(text, WORD)))
+        if self.tokenizer in ("simple", "unicode_words") and not drops:
+            return F.regexp_count(text, F.lit(WORD if self.tokenizer == "simple" else UNICODE_WORD))
         return F.when(text.isNotNull(), F.size(self.tokens(text)))
 
     def terms(self, text: Column) -> Column:

@@ -1,8 +1,10 @@
 """Highlighting: the best fragments of a text with the matched terms tagged, and their byte offsets.
 
-These run over the few rows that a top-k query has kept. Fragments are cut at word boundaries, so
-that each holds at most `max_chars` characters; the best has the most distinct matched terms, then
-the most matches, then stands first.
+Terms are those of the field's analyzer: the analyzer runs over each word of the text, in the JVM, and
+words whose terms are wanted are the ones tagged, so `dogs` is found by the stem `dog`. Fragments run
+over the few rows that a top-k query has kept. They are cut at word boundaries, so that each holds at
+most `max_chars` characters; the best has the most distinct matched words, then the most matches, then
+stands first. Null texts give null (no fragments, no positions).
 """
 
 from __future__ import annotations
@@ -13,26 +15,54 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
+from skerry.functions.analysis import DEFAULT, Analyzer
+
+WORD = re.compile(r"[^\W_]+")
 START, END, MAX_CHARS, LIMIT = "<b>", "</b>", 150, 5
 
 
-def _matches(text: str, terms: set[str]) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text) if m[0].lower() in terms]
+def surfaces(text: Column, terms: list[str], analyzer: Analyzer = DEFAULT) -> Column:
+    """The distinct words of the text, in lower case, that the analyzer turns into one of the terms."""
+    words = Analyzer(analyzer.tokenizer, analyzer.options, lowercase=False).terms(text)
+    held = F.filter(F.array_distinct(words), lambda w: F.exists(_term_of(w, analyzer), lambda t: t.isin(*terms)))
+    return F.array_distinct(F.transform(held, F.lower))
+
+
+def _term_of(word: Column, analyzer: Analyzer) -> Column:
+    """The analyzer's filters over one word."""
+    return analyzer.with_options(tokenizer="literal_normalized", options={}).terms(word)
+
 
+def _matches(text: str, words) -> list[tuple[int, int, str]]:
+    if words is None or not len(words):
+        return []
+    any_ = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(rf"(?i)(?<![^\W_])(?:{any_})(?![^\W_])", text)]
 
-def fragments(text: str, terms: set[str], max_chars: int = MAX_CHARS) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
+
+def fragments(text: str, words, max_chars: int = MAX_CHARS) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
     """(start, end, matches) of the fragments with a match, in order of place."""
-    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    hits = _matches(text, words)
+    if not hits:
+        return []
+    found = [(m.start(), m.end()) for m in WORD.finditer(text)]
     cuts, at = [], 0
-    while at < len(words):
+    while at < len(found):
         end = at
-        while end + 1 < len(words) and words[end + 1][1] - words[at][0] <= max_chars:
+        while end + 1 < len(found) and found[end + 1][1] - found[at][0] <= max_chars:
             end += 1
-        cuts.append((words[at][0], words[end][1]))
+        cuts.append((found[at][0], found[end][1]))
         at = end + 1
-    hits = _matches(text, terms)
-    return [(a, b, inside) for a, b in cuts if (inside := [h for h in hits if a <= h[0] and h[1] <= b])]
+    out, k = [], 0
+    for a, b in cuts:
+        inside = []
+        while k < len(hits) and hits[k][0] < b:
+            if a <= hits[k][0] and hits[k][1] <= b:
+                inside.append(hits[k])
+            k += 1
+        if inside:
+            out.append((a, b, inside))
+    return out
 
 
 def _ranked(found, by: str):
@@ -48,43 +78,47 @@ def _tagged(text: str, fragment, start: str, end: str) -> str:
     return "".join([*out, text[at:b]])
 
 
-def snippet(text: Column, terms: list[str], start_tag: str = START, end_tag: str = END, max_num_chars: int = MAX_CHARS) -> Column:
+def snippet(text: Column, terms: list[str], start_tag: str = START, end_tag: str = END, max_num_chars: int = MAX_CHARS, analyzer: Analyzer = DEFAULT) -> Column:
     """The best fragment, tagged; null where nothing matches."""
-    wanted = {t.lower() for t in terms}
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        best = [(t, _ranked(fragments(t, wanted, max_num_chars), "score")) if t else (t, []) for t in texts]
-        return pd.Series([_tagged(t, f[0], start_tag, end_tag) if f else None for t, f in best])
+    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+        best = [(t, _ranked(fragments(t, w, max_num_chars), "score") if t else []) for t, w in zip(texts, words, strict=True)]
+        return pd.Series([_tagged(t, f[0], start_tag, end_tag) if f else None for t, f in best], dtype=object)
 
-    return run(text)
+    return run(text, surfaces(text, terms, analyzer))
 
 
-def snippets(text: Column, terms: list[str], start_tag: str = START, end_tag: str = END, max_num_chars: int = MAX_CHARS, limit: int = LIMIT, offset: int = 0, sort_by: str = "score") -> Column:
+def snippets(text: Column, terms: list[str], start_tag: str = START, end_tag: str = END, max_num_chars: int = MAX_CHARS, limit: int = LIMIT, offset: int = 0, sort_by: str = "score", analyzer: Analyzer = DEFAULT) -> Column:
     """Several fragments, by score or position."""
     if sort_by not in ("score", "position"):
         raise ValueError("sort_by is score or position")
-    wanted = {t.lower() for t in terms}
 
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[_tagged(t, f, start_tag, end_tag) for f in _ranked(fragments(t, wanted, max_num_chars), sort_by)[offset : offset + limit]] if t else [] for t in texts])
+    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([[_tagged(t, f, start_tag, end_tag) for f in _ranked(fragments(t, w, max_num_chars), sort_by)[offset : offset + limit]] if t else [] for t, w in zip(texts, words, strict=True)], dtype=object)
 
-    return run(text)
+    return run(text, surfaces(text, terms, analyzer))
 
 
-def snippet_positions(text: Column, terms: list[str]) -> Column:
+def snippet_positions(text: Column, terms: list[str], analyzer: Analyzer = DEFAULT) -> Column:
     """[start, end) byte offsets of every match."""
-    wanted = {t.lower() for t in terms}
 
     @F.pandas_udf("array<array<int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[[len(t[:a].encode()), len(t[:b].encode())] for a, b, _ in _matches(t, wanted)] if t else [] for t in texts])
+    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([[[len(t[:a].encode()), len(t[:b].encode())] for a, b, _ in _matches(t, w)] if t else [] for t, w in zip(texts, words, strict=True)], dtype=object)
+
+    return run(text, surfaces(text, terms, analyzer))
+
 
-    return run(text)
+def highlight(text: Column, terms: list[str], start_tag: str = START, end_tag: str = END, analyzer: Analyzer = DEFAULT) -> Column:
+    """The whole text with matched words tagged: in the JVM where the terms are the words in lower case, else fragment by fragment."""
+    if analyzer.stemmer or analyzer.fold:
 
+        @F.pandas_udf("string")
+        def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+            return pd.Series([_tagged(t, (0, len(t), _matches(t, w)), start_tag, end_tag) if t else t for t, w in zip(texts, words, strict=True)], dtype=object)
 
-def highlight(text: Column, terms: list[str], start_tag: str = START, end_tag: str = END) -> Column:
-    """The whole text with matched terms tagged, in the JVM (ASCII terms)."""
+        return run(text, surfaces(text, terms, analyzer))
     words = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?i)(?<![0-9A-Za-z\x80-￿])({words})(?![0-9A-Za-z\x80-￿])", f"{start_tag}$1{end_tag}")
+    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", f"{start_tag}$1{end_tag}")

@@ -1,7 +1,7 @@
 """JSON aggregation requests, compiled to DataFrame aggregations.
 
 A request names aggregations: {"by_lang": {"terms": {"field": "lang"}, "aggs": {...}}, "n": {...}}.
-`aggregate` gives the response as one JSON row a request; `buckets` gives the flat table of one
+`aggregate` gives the response as one JSON row a request, with buckets nested to any depth; `buckets` gives the flat table of one
 bucket aggregation, with its metrics as columns. Aggregation is partial before any shuffle; a
 response's size is the number of its buckets, which `bucket_limit` guards.
 """
@@ -48,20 +48,13 @@ def _subs(spec: dict) -> dict:
     return spec.get("aggs") or spec.get("aggregations") or {}
 
 
-def metric(df: DataFrame, kind: str, body: dict, exact: bool = True) -> Column:
-    """One metric as a column: a number, a struct (stats, percentiles) or an array (top_hits)."""
-    if kind == "top_hits":
-        order = body.get("sort", [])
-        keys = [(k, d) for s in order for k, d in (s.items() if isinstance(s, dict) else [(s, "asc")])]
-        names = body.get("docvalue_fields", df.columns)
-        signed = [(-_field(df, k).cast("double") if str(d).lower() == "desc" or isinstance(d, dict) and d.get("order") == "desc" else _field(df, k)).alias(f"_s{i}") for i, (k, d) in enumerate(keys)]
-        hits = F.array_sort(F.collect_list(F.struct(*signed, F.struct(*[_field(df, n).alias(n) for n in names]).alias("hit"))))
-        return F.transform(F.slice(hits, body.get("from", 0) + 1, body.get("size", 3)), lambda h: h["hit"])
+def metric(df: DataFrame, kind: str, body: dict, exact: bool = False) -> Column:
+    """One metric as a column: a number or a struct (stats, percentiles). `top_hits` is ranked apart."""
     x = _field(df, body["field"], body.get("missing"))
     if kind == "value_count":
         return F.count(x)
     if kind == "cardinality":
-        return F.count_distinct(x) if exact else F.approx_count_distinct(x)
+        return F.count_distinct(x) if exact else F.approx_count_distinct(x, 0.02)
     v = x.cast("double")
     if kind == "percentiles":
         points = body.get("percents", [1, 5, 25, 50, 75, 95, 99])
@@ -76,6 +69,42 @@ def metric(df: DataFrame, kind: str, body: dict, exact: bool = True) -> Column:
     return plain[kind]
 
 
+def _top_hits(df: DataFrame, body: dict, keys: list[str], name: str) -> DataFrame:
+    """keys and the array of each group's first rows: a ranking that keeps from + size rows a group in every task."""
+    sort = [(k, d) for s in body.get("sort", []) for k, d in (s.items() if isinstance(s, dict) else [(s, "asc")])]
+    falls = lambda d: (d.get("order") if isinstance(d, dict) else str(d)).lower() == "desc"
+    fields = body.get("docvalue_fields", [c for c in df.columns if c not in keys])
+    order = [_field(df, k).desc_nulls_last() if falls(d) else _field(df, k).asc_nulls_last() for k, d in sort]
+    skip, size = body.get("from", 0), body.get("size", 3)
+    hit = F.struct(*[_field(df, n).alias(n) for n in fields]).alias("_hit")
+    ranked = df.select(*keys, hit, F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.to_json(hit))).alias("_rank")) if keys else None
+    if ranked is None:  # one group: a bounded heap in every task, and a rank among the few rows left
+        few = df.orderBy(*order, F.to_json(hit)).limit(skip + size)
+        ranked = few.select(hit, F.row_number().over(Window.orderBy(*order, F.to_json(hit))).alias("_rank"))
+    kept = ranked.where((F.col("_rank") <= skip + size) & (F.col("_rank") > skip))
+    return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_hit"))), lambda h: h["_hit"]).alias(name))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """`left` with the columns of `right`, which has at most one row for each of its keys."""
+    return left.join(right, keys, "left") if keys else left.crossJoin(F.broadcast(right))  # one row
+
+
+def _measured(df: DataFrame, aggs: dict, keys: list[str], exact: bool) -> DataFrame:
+    """keys, doc_count and a column for each metric among `aggs`."""
+    found = {n: s for n, s in aggs.items() if _kind(s) in METRICS}
+    for n in found:
+        if n in keys or n in ("key", "doc_count"):
+            raise RequestError(f"an aggregation can't be called {n!r} here")
+    plain = [metric(df, _kind(s), s[_kind(s)], exact).alias(n) for n, s in found.items() if _kind(s) != "top_hits"]
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *plain)
+    for n, s in found.items():
+        if _kind(s) == "top_hits":
+            hits = _top_hits(df, s["top_hits"], keys, n)
+            out = _beside(out, hits, keys).withColumn(n, F.coalesce(n, F.array().cast(hits.schema[n].dataType)))
+    return out
+
+
 def interval_ms(text: str) -> int:
     """Milliseconds of a fixed interval such as 30d."""
     m = re.fullmatch(r"(\d+)(ms|s|m|h|d)", text or "")
@@ -123,78 +152,80 @@ def _range_case(x: Column, ranges: list[dict]) -> Column:
     return out
 
 
-def buckets(df: DataFrame, spec: dict, exact: bool = True, within: list[str] | None = None) -> DataFrame:
+def _keyed(df: DataFrame, kind: str, body: dict, names: list[str]) -> DataFrame:
+    """The rows that fall into a bucket, with the bucket's keys as columns `names`."""
+    if kind == "filter":
+        return df.where(F.expr(body["sql"]) if "sql" in body else _field(df, body["field"]) == F.lit(body["value"]))
+    return df.withColumns(dict(zip(names, key_columns(df, kind, body), strict=True))).dropna(subset=names)
+
+
+def _every_bucket(out: DataFrame, groups: DataFrame, outer: list[str], names: list[str], kind: str, body: dict, limit: int) -> DataFrame:
+    """`out` with the empty buckets that the request asks for, in each of the outer `groups`."""
+    if kind == "range":
+        grid = groups.select(*outer, F.explode(F.array(*[F.lit(range_key(a, b)) for a, b in range_bounds(body["ranges"])])).alias(names[0]))
+    elif kind in ("histogram", "date_histogram") and body.get("min_doc_count", 0) == 0:
+        step = float(body["interval"]) if kind == "histogram" else interval_ms(body["fixed_interval"])
+        ends = out.groupBy(*outer).agg(F.min(names[0]).alias("_lo"), F.max(names[0]).alias("_hi")).where("_lo is not null")
+        n = F.round((F.col("_hi") - F.col("_lo")) / step)
+        n = F.when(n < limit, n.cast("int")).otherwise(F.raise_error(F.concat(F.lit("too many buckets: "), n.cast("string"))).cast("int"))
+        grid = ends.select(*outer, F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: (F.col("_lo") + i * F.lit(step)).cast("double" if kind == "histogram" else "long"))).alias(names[0]))
+    else:
+        return out
+    return grid.join(out, [*outer, *names], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
+
+
+def _order(kind: str, body: dict, names: list[str]) -> list[Column]:
+    if kind not in ("terms", "multi_terms"):
+        return [F.col(n) for n in names]
+    by, way = next(iter(body.get("order", {"_count": "desc"}).items()))
+    target = F.col({"_count": "doc_count", "_key": names[0]}.get(by, by))
+    return [target.desc() if str(way).lower() == "desc" else target.asc(), *[F.col(n) for n in names]]
+
+
+def _first(out: DataFrame, kind: str, body: dict, outer: list[str], names: list[str]) -> DataFrame:
+    """The buckets that the request's size, and the place to go on after, leave in each outer group."""
+    if kind == "composite" and body.get("after"):
+        out = out.where(F.struct(*names) > F.struct(*[F.lit(body["after"][next(iter(s))]) for s in body["sources"]]))
+    if kind not in ("terms", "multi_terms", "composite"):
+        return out
+    order, size = _order(kind, body, names), body.get("size", 10)
+    if not outer:
+        return out.orderBy(*order).limit(size)
+    return out.withColumn("_n", F.row_number().over(Window.partitionBy(*outer).orderBy(*order))).where(F.col("_n") <= size).drop("_n")
+
+
+def buckets(df: DataFrame, spec: dict, exact: bool = False, within: list[str] | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """The flat buckets of one bucket aggregation: keys, doc_count and the metrics below it.
 
-    `within`: columns of outer buckets, kept as leading keys (sub-aggregations).
+    `within`: columns of outer buckets, kept as leading keys.
     """
     kind = _kind(spec)
     body, outer = spec[kind], within or []
-    metrics = [(n, s) for n, s in _subs(spec).items() if _kind(s) in METRICS]
-    made = [metric(df, _kind(s), s[_kind(s)], exact).alias(n) for n, s in metrics]
-    if kind == "filter":
-        out = df.where(F.expr(body["sql"]) if "sql" in body else _field(df, body["field"]) == F.lit(body["value"]))
-        return out.groupBy(*outer).agg(F.count(F.lit(1)).alias("doc_count"), *made)
-    keys = key_columns(df, kind, body)
-    names = [k for k in _names(keys, kind, body)]
-    rows = df.select(*df.columns, *keys) if not set(names) & set(df.columns) else df.withColumns(dict(zip(names, keys, strict=True)))
-    rows = rows.where(F.col(names[0]).isNotNull()) if kind in ("terms", "histogram", "date_histogram", "range") else rows.dropna(subset=names)
-    out = rows.groupBy(*outer, *names).agg(F.count(F.lit(1)).alias("doc_count"), *made)
-    if kind == "histogram" and body.get("min_doc_count", 0) == 0 or kind == "date_histogram" and body.get("min_doc_count", 0) == 0:
-        out = _filled(out, outer, body, kind)
-    if kind == "range" and not outer:
-        every = df.sparkSession.createDataFrame([(range_key(a, b),) for a, b in range_bounds(body["ranges"])], "key string")
-        out = every.join(out, "key", "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
-    if kind in ("terms", "multi_terms"):
-        order = next(iter(body.get("order", {"_count": "desc"}).items()))
-        by = {"_count": "doc_count", "_key": names[0]}.get(order[0], order[0])
-        first = F.col(by).desc() if order[1] == "desc" else F.col(by).asc()
-        size = body.get("size", 10)
-        if outer:
-            w = Window.partitionBy(*outer).orderBy(first, *names)
-            out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
-        else:
-            out = out.orderBy(first, *names).limit(size)
-    if kind == "composite":
-        after = body.get("after")
-        if after:
-            out = out.where(F.struct(*names) > F.struct(*[F.lit(after[n]) for n in names]))
-        out = out.orderBy(*names).limit(body.get("size", 10))
-    return out
+    names = _names(kind, body)
+    out = _measured(_keyed(df, kind, body, names), _subs(spec), [*outer, *names], exact)
+    out = _every_bucket(out, df.select(*outer).distinct() if outer else df.sparkSession.range(1), outer, names, kind, body, bucket_limit)
+    return _first(out, kind, body, outer, names)
 
 
-def _names(keys: list[Column], kind: str, body: dict) -> list[str]:
+def _names(kind: str, body: dict) -> list[str]:
+    if kind == "filter":
+        return []
     if kind == "multi_terms":
-        return [f"key_{i}" for i in range(len(keys))]
+        return [f"key_{i}" for i in range(len(body["terms"]))]
     return [next(iter(s)) for s in body["sources"]] if kind == "composite" else ["key"]
 
 
-def _filled(out: DataFrame, outer: list[str], body: dict, kind: str) -> DataFrame:
-    """Empty buckets between the first and the last one."""
-    step = float(body["interval"]) if kind == "histogram" else interval_ms(body["fixed_interval"])
-    ends = out.groupBy(*outer).agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    n = F.round((F.col("hi") - F.col("lo")) / step).cast("int")
-    grid = ends.where("lo is not null").select(*outer, F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: (F.col("lo") + i * F.lit(step)).cast("double" if kind == "histogram" else "long"))).alias("key"))
-    return grid.join(out, [*outer, "key"], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
+def aggregate(df: DataFrame, request: dict | str, exact: bool = False, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """One row, one column `response`: the JSON answer, buckets nested to any depth.
 
-
-def aggregate(df: DataFrame, request: dict | str, exact: bool = True, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """One row, one column `response`: the JSON answer, buckets nested to any depth."""
+    Percentiles and cardinality are sketches unless `exact`. Every bucket aggregation, at any depth, may
+    make `bucket_limit` buckets before its size cuts them.
+    """
     spec = json.loads(request) if isinstance(request, str) else request
     if "buckets" in spec or not spec:
         raise RequestError("a request names its aggregations")
-    parts = []
-    for name, s in spec.items():
-        kind = _kind(s)
-        if kind in METRICS:
-            value = metric(df, kind, s[kind], exact)
-            parts.append((name, df.agg(_shaped(kind, value).alias(name))))
-        else:
-            parts.append((name, _answer(df, s, exact, bucket_limit).withColumnRenamed("answer", name)))
-    out = parts[0][1]
-    for _, p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))  # one row each
-    return out.select(F.to_json(F.struct(*[n for n, _ in parts])).alias("response"))
+    out = _answers(df, spec, [], exact, bucket_limit, 0)
+    return out.select(F.to_json(F.struct(*_shapes(spec))).alias("response"))
 
 
 def _shaped(kind: str, value: Column) -> Column:
@@ -205,40 +236,68 @@ def _shaped(kind: str, value: Column) -> Column:
     return F.struct(value.alias("hits" if kind == "top_hits" else "value"))
 
 
-def _answer(df: DataFrame, spec: dict, exact: bool, limit: int) -> DataFrame:
-    """One row with the array of a bucket aggregation's buckets, sub-buckets inside."""
+def _answers(df: DataFrame, aggs: dict, outer: list[str], exact: bool, limit: int, depth: int) -> DataFrame:
+    """outer keys, doc_count, and for each aggregation a column with its answer in the bucket of these keys."""
+    out = _measured(df, aggs, outer, exact)
+    for name, s in aggs.items():
+        kind = _kind(s)
+        if kind in METRICS:
+            continue
+        answer = _bucket_answer(df, out.select(*outer) if outer else df.sparkSession.range(1), name, s, outer, exact, limit, depth)
+        out = _beside(out, answer, outer)
+        # outer buckets without any of these: no buckets, or none of the filter's rows
+        made = answer.schema[name].dataType
+        empty = F.from_json(F.lit('{"doc_count": 0}' if kind == "filter" else '{"buckets": []}'), made.json())
+        out = out.withColumn(name, F.coalesce(name, empty))
+    return out
+
+
+def _shapes(aggs: dict) -> list[Column]:
+    return [(_shaped(_kind(s), F.col(n)) if _kind(s) in METRICS else F.col(n)).alias(n) for n, s in aggs.items()]
+
+
+def _bucket_answer(df: DataFrame, groups: DataFrame, name: str, spec: dict, outer: list[str], exact: bool, limit: int, depth: int) -> DataFrame:
+    """outer keys and the column `name`: the answer of a bucket aggregation in each of the outer groups that have one."""
     kind = _kind(spec)
-    flat = buckets(df, {k: v for k, v in spec.items() if k == kind} | {"aggs": {n: s for n, s in _subs(spec).items() if _kind(s) in METRICS}}, exact)
-    names = [] if kind == "filter" else _names(key_columns(df, kind, spec[kind]), kind, spec[kind])
-    fields = [*names, "doc_count", *[n for n, s in _subs(spec).items() if _kind(s) in METRICS]]
-    if kind == "date_histogram":
-        flat = flat.withColumn("key_as_string", F.date_format(F.timestamp_millis("key"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        fields.insert(1, "key_as_string")
-    for name, sub in _subs(spec).items():
-        if _kind(sub) in BUCKETS:
-            keyed = df.withColumns({f"_o_{n}": c for n, c in zip(names, key_columns(df, kind, spec[kind]), strict=True)})
-            inner = buckets(keyed, sub, exact, [f"_o_{n}" for n in names])
-            cols = [c for c in inner.columns if not c.startswith("_o_")]
-            nested = inner.groupBy(*[F.col(f"_o_{n}").alias(n) for n in names]).agg(F.struct(_listed(cols, sub).alias("buckets")).alias(name))
-            flat = flat.join(nested, names, "left")
-            fields.append(name)
-    count = flat.count()
-    if count > limit:
-        raise RequestError(f"{count} buckets; at most {limit} are allowed")
+    body, subs = spec[kind], _subs(spec)
+    names = [f"_k{depth}_{i}" for i in range(len(_names(kind, body)))]
+    inner = _answers(_keyed(df, kind, body, names), subs, [*outer, *names], exact, limit, depth + 1)
     if kind == "filter":
-        return flat.select(F.struct(*fields).alias("answer"))
-    out = [_listed(fields, spec).alias("buckets")]
+        return inner.select(*outer, F.struct("doc_count", *_shapes(subs)).alias(name))
+    n, total = inner.agg(F.count(F.lit(1)), F.coalesce(F.sum("doc_count"), F.lit(0))).first()
+    if n > limit:
+        raise RequestError(f"{n} buckets; at most {limit} are allowed")
+    if kind == "terms" and outer:
+        inner = inner.withColumn("_all", F.sum("doc_count").over(Window.partitionBy(*outer)))
+    inner = _first(_every_bucket(inner, groups, outer, names, kind, body, limit), kind, body, outer, names)
+    inner = inner.withColumn("_place", F.row_number().over(Window.partitionBy(*outer).orderBy(*_order(kind, body, names))))  # at most `limit` rows
+    bucket = F.struct(*_key_fields(kind, body, names), "doc_count", *_shapes(subs))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_place", bucket.alias("_b")))), lambda b: b["_b"]).alias("buckets")
+    more = []
     if kind == "terms":
-        total = df.where(_field(df, spec[kind]["field"], spec[kind].get("missing")).isNotNull()).count()
-        out += [(F.lit(total) - F.coalesce(F.sum("doc_count"), F.lit(0))).alias("sum_other_doc_count"), F.lit(0).alias("doc_count_error_upper_bound")]
-    return flat.agg(F.struct(*out).alias("answer"))
+        every = F.first("_all") if outer else F.lit(total)
+        more = [(F.coalesce(every, F.lit(0)) - F.coalesce(F.sum("doc_count"), F.lit(0))).alias("sum_other_doc_count"), F.lit(0).alias("doc_count_error_upper_bound")]
+    if kind == "composite":
+        last = F.max_by(F.struct(*[F.col(k).alias(n) for k, n in zip(names, _names(kind, body), strict=True)]), "_place")
+        more = [last.alias("after_key")]
+    return inner.groupBy(*outer).agg(F.struct(listed, *more).alias(name))
 
 
-def _listed(fields: list[str], spec: dict) -> Column:
-    kind = _kind(spec)
-    first = [(-F.col("doc_count")).alias("_k")] if kind in ("terms", "multi_terms") and "order" not in spec[kind] else []
-    every = F.array_sort(F.collect_list(F.struct(*first, *fields)))
-    return F.transform(every, lambda b: F.struct(*[b[f].alias(f) for f in fields]))
+def _key_fields(kind: str, body: dict, names: list[str]) -> list[Column]:
+    """A bucket's key as the response gives it."""
+    if kind == "multi_terms":
+        parts = [F.col(n).cast("string") for n in names]
+        return [F.array(*parts).alias("key"), F.concat_ws("|", *parts).alias("key_as_string")]
+    if kind == "composite":
+        return [F.struct(*[F.col(k).alias(n) for k, n in zip(names, _names(kind, body), strict=True)]).alias("key")]
+    key = F.col(names[0])
+    if kind == "date_histogram":
+        return [key.alias("key"), F.date_format(F.timestamp_millis(key), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("key_as_string")]
+    if kind == "range":
+        ends = {range_key(a, b): (a, b) for a, b in range_bounds(body["ranges"])}
+        at = lambda i: F.create_map(*[F.lit(x) for k, v in ends.items() for x in (k, None if v[i] is None else float(v[i]))])[key].cast("double")
+        return [key.alias("key"), at(0).alias("from"), at(1).alias("to")]
+    return [key.alias("key")]
 
 
 def facet(matches: DataFrame, top: DataFrame, spec: dict, name: str = "facet") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skerry.plans import ast, parser
 
-
+EXPANDED = 1024  # terms that a pattern may stand for before all rows are read instead
 
 def _any(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns) if columns else F.lit(False)
@@ -147,6 +147,73 @@ class Compiler:
             return _one_of([self._side_needs(field, x) for x in side])
         return None if len(side) > 1 and side[0] == side[-1] == "/" else self.index.may_hold(field, side)
 
+    # -- terms that every matching row holds one of -----------------------------------------------
+
+    def seeds(self, q: ast.Query) -> list[tuple[str, tuple[str, ...]]] | None:
+        """(field, terms) pairs: every matching row holds one of these terms. None: nothing is known.
+
+        Where several sets would do (all words of a phrase, all must clauses), the one with the fewest
+        postings is taken. Patterns stand for the terms of the dictionary that meet them, up to `EXPANDED`.
+        """
+        one = lambda f, terms: [(f, tuple(dict.fromkeys(terms)))]
+        if isinstance(q, (ast.Boost, ast.Const, ast.ScoreFilter)):
+            return self.seeds(q.query)
+        if isinstance(q, ast.Term):
+            return one(q.field, [q.value])
+        if isinstance(q, ast.TermSet):
+            return one(q.field, q.values)
+        if isinstance(q, ast.Match):
+            terms = self.terms_of(q.field, q.text)
+            parts = [self._expanded(q.field, lambda t, v=v: fuzzy_match(t, v, q.distance, q.prefix, q.transpose)) if q.distance else one(q.field, [v]) for v in terms]
+            return self._rarest(parts) if q.every and terms else self._union(parts)
+        if isinstance(q, ast.Phrase):
+            return self._rarest([one(q.field, [t]) for t in self.terms_of(q.field, q.text)])
+        if isinstance(q, ast.PhrasePrefix):
+            terms = self.terms_of(q.field, q.text)
+            return self._rarest([one(q.field, [t]) for t in terms[:-1]]) if len(terms) > 1 else None
+        if isinstance(q, ast.Regex):
+            return self._expanded(q.field, lambda t: t.rlike(f"^(?:{q.pattern})$"))
+        if isinstance(q, ast.RegexPhrase):
+            return self._rarest([self._expanded(q.field, lambda t, p=p: t.rlike(f"^(?:{p})$")) for p in q.patterns])
+        if isinstance(q, ast.Fuzzy):
+            return self._expanded(q.field, lambda t: fuzzy_match(t, q.value, q.distance, q.prefix, q.transpose))
+        if isinstance(q, ast.Near):
+            return self._rarest([self._side_seeds(q.field, q.left), self._side_seeds(q.field, q.right)])
+        if isinstance(q, ast.Boolean):
+            if q.must:
+                return self._rarest([self.seeds(x) for x in q.must])
+            return None if q.minimum_should_match == 0 or not q.should else self._union([self.seeds(x) for x in q.should])
+        if isinstance(q, ast.DisMax):
+            return self._union([self.seeds(x) for x in q.clauses]) if q.clauses else None
+        if isinstance(q, ast.MoreLikeThis):
+            return one(q.field, self.index.telling_terms(q))
+        if isinstance(q, ast.Parse):
+            return self.seeds(self.tree(q))
+        return None
+
+    def _side_seeds(self, field: str, side):
+        if isinstance(side, ast.Near):
+            return self.seeds(side)
+        if isinstance(side, (tuple, list)):
+            return self._union([self._side_seeds(field, x) for x in side])
+        if len(side) > 1 and side[0] == side[-1] == "/":
+            return self._expanded(field, lambda t: t.rlike(f"^(?:{side[1:-1]})$"))
+        return [(field, (side,))]
+
+    def _expanded(self, field: str, test):
+        terms = self.index.expand(field, test, EXPANDED + 1)
+        return [(field, tuple(terms))] if len(terms) <= EXPANDED else None
+
+    @staticmethod
+    def _union(parts: list):
+        return [x for p in parts for x in p] if all(p is not None for p in parts) else None
+
+    def _rarest(self, parts: list):
+        known = [p for p in parts if p is not None]
+        for f, terms in [x for p in known for x in p]:
+            self.index.doc_frequencies(f, list(terms))
+        return min(known, key=lambda p: sum(self.index.doc_frequency(f, t) for f, terms in p for t in terms), default=None)
+
     # -- nodes --------------------------------------------------------------------------------
 
     def compile(self, q: ast.Query) -> tuple[Column, Column]:

@@ -1,12 +1,15 @@
 """SearchIndex: a DataFrame with analysed fields and the numbers that scoring needs.
 
-Two modes share the query nodes. Scan mode analyses while it scans: no state besides the source.
-Postings mode (`postings`, `search_postings`) keeps an exploded token table, from which a query
-reads only its own terms. Corpus numbers come from all rows of the index, whatever a query filters.
+Two modes share the query nodes and give the same rows and scores. A scanned index analyses while it
+scans: no state besides the source. A stored one (`build`) has written, once, each field's postings,
+its dictionary with document frequencies, and its numbers: a query then reads the numbers of its own
+terms, finds the keys that can match from the postings of its rarest terms, and analyses only the rows
+of these. Corpus numbers come from all rows of the index, whatever a query filters.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -42,6 +45,7 @@ class SearchIndex:
     key: str
     fields: dict[str, FieldSpec]
     where: str | None = None
+    folder: str | None = None
     _numbers: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
@@ -49,6 +53,40 @@ class SearchIndex:
             self.df = self.df.where(self.where)
         self.analysed = self.with_tokens(self.df)
 
+    # -- the stored form ------------------------------------------------------------------------
+
+    def build(self, folder: str) -> SearchIndex:
+        """The index with its postings, dictionaries and numbers written below `folder`, which is to be shared by all machines.
+
+        Postings lie sorted by term and key, dealt by ranges of both, so that a term's postings are few
+        row groups, and a term of very many rows is several files.
+        """
+        numbers = []
+        for name in self.fields:
+            self.postings(name).repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{folder}/postings/{name}")
+            written = self.stored("postings", name, folder)
+            written.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms/{name}")
+            n, mean = self._lengths(name)
+            numbers.append((name, n, mean))
+        self.df.sparkSession.createDataFrame(numbers, "field string, n long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/numbers")
+        return self.opened(folder)
+
+    def opened(self, folder: str) -> SearchIndex:
+        """The index over what `build` has written below `folder`."""
+        index = SearchIndex(self.df, self.key, self.fields, None, folder)
+        for r in self.df.sparkSession.read.parquet(f"{folder}/numbers").collect():  # one row a field
+            index._numbers["lengths", r.field] = r.n, r.mean
+        return index
+
+    def stored(self, what: str, name: str, folder: str | None = None) -> DataFrame:
+        """A field's written `postings` or `terms`."""
+        return self.df.sparkSession.read.parquet(f"{folder or self.folder}/{what}/{name}")
+
+    def candidates(self, seeds: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
+        """The keys of the rows that hold any of the seeds' terms."""
+        parts = [self.stored("postings", f).where(F.col("term").isin(*terms)).select(F.col("key").alias(self.key)) for f, terms in seeds]
+        return reduce(DataFrame.union, parts).distinct()
+
     def with_tokens(self, rows: DataFrame) -> DataFrame:
         """The rows with a token column for each field.
 
@@ -97,7 +135,10 @@ class SearchIndex:
     def doc_frequencies(self, name: str, terms: list[str]) -> None:
         """Takes the frequencies of all `terms` in one pass."""
         new = [t for t in dict.fromkeys(terms) if ("df", name, t) not in self._numbers]
-        if new:
+        if new and self.folder:
+            found = {r.term: r.df for r in self.stored("terms", name).where(F.col("term").isin(*new)).collect()}  # a query's terms
+            self._numbers |= {("df", name, t): found.get(t, 0) for t in new}
+        elif new:
             self.token_column(name)
             tests = [self.may_hold(name, t) for t in new]
             rows = self.df if any(t is None for t in tests) else self.df.where(reduce(lambda a, b: a | b, tests))
@@ -118,6 +159,9 @@ class SearchIndex:
 
     def dictionary(self, name: str) -> DataFrame:
         """term, df: every term of the field and how many rows hold it."""
+        self.token_column(name)
+        if self.folder:
+            return self.stored("terms", name)
         tokens = F.col(self.token_column(name))
         return self.analysed.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -144,7 +188,13 @@ class SearchIndex:
         if q.max_word_length is not None:
             tf = tf.where(F.length("term") <= q.max_word_length)
         n = self.n_docs(q.field)
-        joined = self.dictionary(q.field).join(F.broadcast(tf), "term").where(F.col("df") >= q.min_doc_frequency)  # one text's terms
+        tf = F.broadcast(tf)  # one text's terms
+        if self.folder:
+            joined = self.dictionary(q.field).join(tf, "term")
+        else:  # only the source's terms are counted
+            held = self.analysed.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: t["term"]))).alias("term")).join(tf, "term", "left_semi")
+            joined = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(tf, "term")
+        joined = joined.where(F.col("df") >= q.min_doc_frequency)
         if q.max_doc_frequency is not None:
             joined = joined.where(F.col("df") <= q.max_doc_frequency)
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -159,7 +209,11 @@ class SearchIndex:
         compiler = Compiler(self)
         match, value = compiler.compile(query)
         needed = compiler.needs(query)
-        rows = self.analysed if needed is None else self.with_tokens(self.df.where(needed))
+        seeds = compiler.seeds(query) if self.folder else None
+        rows = self.df if needed is None else self.df.where(needed)
+        if seeds is not None:
+            rows = rows.join(self.candidates(seeds), self.key, "left_semi") if any(terms for _, terms in seeds) else rows.where(F.lit(False))
+        rows = self.with_tokens(rows)
         found = rows.where(match).withColumn(score, value)
         return found.drop(*[self.token_column(f) for f in self.fields])
 
@@ -169,10 +223,7 @@ class SearchIndex:
         return self.analysed.withColumn(match, m).withColumn(score, value).drop(*[self.token_column(f) for f in self.fields])
 
     def top(self, query: ast.Query, k: int, *order: str, offset: int = 0) -> DataFrame:
-        """The k best rows by score, then by the SQL order expressions, then by key.
-
-        The wide columns of the k rows are fetched by key, so the sort moves keys and scores only.
-        """
+        """The k best rows by the SQL order expressions (by default the score), then by key; each task keeps k rows."""
         if len(order) > 5:
             raise ValueError("at most 5 sort keys")
         keys = [_order(o) for o in order] or [F.col("score").desc()]
@@ -195,16 +246,16 @@ def _holds(tokens, term: str):
     return F.exists(tokens, lambda x: x["term"] == term)
 
 
+ORDER = re.compile(r"(?is)^(?P<expr>.*?)(?:\s+(?P<way>asc|desc))?(?:\s+nulls\s+(?P<nulls>first|last))?$")
+
+
 def _order(text: str):
-    parts = text.split()
-    c = F.expr(parts[0])
-    low = [p.lower() for p in parts[1:]]
-    down = "desc" in low
-    if "first" in low:
+    m = ORDER.match(text.strip())
+    c, down = F.expr(m["expr"]), (m["way"] or "").lower() == "desc"
+    first = m["nulls"].lower() == "first" if m["nulls"] else down  # the usual order of the host
+    if first:
         return c.desc_nulls_first() if down else c.asc_nulls_first()
-    if "last" in low:
-        return c.desc_nulls_last() if down else c.asc_nulls_last()
-    return c.desc_nulls_first() if down else c.asc_nulls_last()  # the usual order of the host
+    return c.desc_nulls_last() if down else c.asc_nulls_last()
 
 
 def search_postings(postings: DataFrame, terms: list[str], n_docs: int, mean_length: float, every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:

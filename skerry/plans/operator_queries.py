@@ -12,7 +12,7 @@ from skerry.operators.json_aggs import aggregate, buckets, facet
 from skerry.operators.vector_search import ClusterIndex, knn
 from skerry.plans import ast as q
 from skerry.plans.index import FieldSpec, SearchIndex
-from skerry.plans.text_queries import BASE, documents, has, one, read
+from skerry.plans.text_queries import BASE, WORD, documents, has, one, read
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -35,7 +35,7 @@ def agg_query(name: str, table: str, spec: dict, sql: str, *columns):
 
     @entry(name, sql)
     def run(spark, sf_dir):
-        out = buckets(read(spark, sf_dir, table), spec)
+        out = buckets(read(spark, sf_dir, table), spec, exact=True)
         return out.selectExpr(*columns) if columns else out
 
 
@@ -56,10 +56,46 @@ agg_query("json_cardinality", "lineitem", {"terms": {"field": "l_returnflag"}, "
 agg_query("json_top_hits", "orders", {"terms": {"field": "o_orderstatus"}, "aggs": {"best": {"top_hits": {"size": 2, "sort": [{"o_totalprice": "desc"}, {"o_orderkey": "asc"}], "docvalue_fields": ["o_orderkey"]}}}}, "SELECT o_orderstatus AS key, max(CASE WHEN rn = 1 THEN o_orderkey END) AS first, max(CASE WHEN rn = 2 THEN o_orderkey END) AS second FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) GROUP BY 1", "key", "get(best, 0).o_orderkey AS first", "get(best, 1).o_orderkey AS second")
 
 
+def _each(response, path: str, schema: str, out: str):
+    """The buckets below `path` of a response, one row each."""
+    return response.select(F.inline(F.from_json(F.get_json_object("response", path), schema))).selectExpr(*out.split("; "))
+
+
 @entry("json_terms_nested", "SELECT lang AS key, source AS inner_key, n AS inner_count FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS rn FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)) WHERE rn <= 2")
 def json_terms_nested(spark, sf_dir):
-    inner = buckets(read(spark, sf_dir, "documents").withColumn("outer", F.col("lang")), {"terms": {"field": "source", "size": 2}}, within=["outer"])
-    return inner.select(F.col("outer").alias("key"), F.col("key").alias("inner_key"), F.col("doc_count").alias("inner_count"))
+    got = aggregate(read(spark, sf_dir, "documents"), {"l": {"terms": {"field": "lang", "size": 100}, "aggs": {"s": {"terms": {"field": "source", "size": 2}}}}})
+    outer = _each(got, "$.l.buckets", "array<struct<key: string, s: struct<buckets: array<struct<key: string, doc_count: bigint>>>>>", "key; s.buckets AS b")
+    return outer.select("key", F.inline("b").alias("inner_key", "inner_count"))
+
+
+@entry("json_nested_three", "SELECT l_returnflag AS a, l_linestatus AS b, l_linenumber::VARCHAR AS c, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ALL")
+def json_nested_three(spark, sf_dir):
+    below = {"c": {"terms": {"field": "l_linenumber", "size": 100}, "aggs": {"q": {"sum": {"field": "l_quantity"}}}}}
+    got = aggregate(read(spark, sf_dir, "lineitem"), {"a": {"terms": {"field": "l_returnflag"}, "aggs": {"b": {"terms": {"field": "l_linestatus"}, "aggs": below}}}})
+    inner = "array<struct<key: string, doc_count: bigint, q: struct<value: double>>>"
+    one = _each(got, "$.a.buckets", f"array<struct<key: string, b: struct<buckets: array<struct<key: string, c: struct<buckets: {inner}>>>>>>", "key AS a; b.buckets AS x")
+    two = one.select("a", F.inline("x").alias("b", "y")).select("a", "b", F.inline("y.buckets").alias("c", "n", "v"))
+    return two.select("a", "b", "c", "n", F.round("v.value", 2).alias("q"))
+
+
+@entry("json_filter_terms", "SELECT source AS key, count(*) AS n, max(n_chars)::DOUBLE AS longest FROM documents WHERE n_chars > 2000 GROUP BY source")
+def json_filter_terms(spark, sf_dir):
+    got = aggregate(read(spark, sf_dir, "documents"), {"f": {"filter": {"sql": "n_chars > 2000"}, "aggs": {"s": {"terms": {"field": "source", "size": 1000}, "aggs": {"m": {"max": {"field": "n_chars"}}}}}}})
+    return _each(got, "$.f.s.buckets", "array<struct<key: string, doc_count: bigint, m: struct<value: double>>>", "key; doc_count AS n; m.value AS longest")
+
+
+@entry("json_range_nested", "SELECT p.p_brand AS brand, r.key, r.lo AS low, r.hi AS high, count(x.p_partkey) AS n FROM (SELECT DISTINCT p_brand FROM part) p CROSS JOIN (VALUES ('*-1000', NULL, 1000.0::DOUBLE), ('1000-1500', 1000.0, 1500.0), ('1500-5000', 1500.0, 5000.0), ('5000-*', 5000.0, NULL)) r(key, lo, hi) LEFT JOIN part x ON x.p_brand = p.p_brand AND (r.lo IS NULL OR x.p_retailprice >= r.lo) AND (r.hi IS NULL OR x.p_retailprice < r.hi) GROUP BY ALL")
+def json_range_nested(spark, sf_dir):
+    below = {"r": {"range": {"field": "p_retailprice", "ranges": [{"to": 1000}, {"from": 1000, "to": 1500}, {"from": 5000}]}}}
+    got = aggregate(read(spark, sf_dir, "part"), {"b": {"terms": {"field": "p_brand", "size": 1000}, "aggs": below}})
+    outer = _each(got, "$.b.buckets", "array<struct<key: string, r: struct<buckets: array<struct<key: string, `from`: double, `to`: double, doc_count: bigint>>>>>", "key AS brand; r.buckets AS x")
+    return outer.select("brand", F.inline("x").alias("key", "low", "high", "n"))
+
+
+@entry("json_filter_nested", "SELECT lang AS key, count(*) FILTER (WHERE n_chars > 15000) AS n FROM documents GROUP BY lang")
+def json_filter_nested(spark, sf_dir):
+    got = aggregate(read(spark, sf_dir, "documents"), {"l": {"terms": {"field": "lang", "size": 100}, "aggs": {"f": {"filter": {"sql": "n_chars > 15000"}}}}})
+    return _each(got, "$.l.buckets", "array<struct<key: string, f: struct<doc_count: bigint>>>", "key; f.doc_count AS n")
 
 
 @entry("json_response", "SELECT count(*) AS n, round(avg(value), 6) AS mean FROM events")
@@ -101,10 +137,24 @@ def knn_filtered(spark, sf_dir):
     return knn(read(spark, sf_dir, "embeddings"), _query(spark, sf_dir), 10, where="label = 3").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@entry("knn_clusters")
-def knn_clusters(spark, sf_dir):
-    index = ClusterIndex(read(spark, sf_dir, "embeddings"), centroid_ratio=0.02)
-    return index.search(_query(spark, sf_dir), 10, probe=0.5).select("vec_id", F.round("distance", 6).alias("distance"))
+for _name, _metric, _sql in (("knn_clusters", "l2", "list_distance(embedding::DOUBLE[], v)"), ("knn_clusters_cosine", "cosine", "list_cosine_distance(embedding::DOUBLE[], v)"), ("knn_clusters_ip", "ip", "-list_inner_product(embedding::DOUBLE[], v)")):
+
+    def _clusters(spark, sf_dir, metric=_metric):
+        """With every cluster probed a search gives the exact answer."""
+        index = ClusterIndex(read(spark, sf_dir, "embeddings"), metric=metric, centroid_ratio=0.02)
+        return index.search(_query(spark, sf_dir), 10, probe=1.0).select("vec_id", F.round("distance", 6).alias("distance"))
+
+    entry(_name, _vector_sql(_sql))(_clusters)
+
+
+@entry("vector_info", "SELECT count(*) AS rows, greatest(1, round(count(*) * 0.02))::INT AS clusters, 'l2' AS metric, max(len(embedding))::INT AS dimensions FROM embeddings")
+def vector_info(spark, sf_dir):
+    return ClusterIndex(read(spark, sf_dir, "embeddings"), centroid_ratio=0.02, flat_below=0).info()
+
+
+@entry("vector_clusters", "SELECT count(*) AS n FROM embeddings")
+def vector_clusters(spark, sf_dir):
+    return ClusterIndex(read(spark, sf_dir, "embeddings"), centroid_ratio=0.02).clusters().agg(F.sum("rows").alias("n"))
 
 
 @entry("vector_self_product", "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS p FROM embeddings")
@@ -143,13 +193,13 @@ def agg_of_score(spark, sf_dir):
 
 # -- ranges ---------------------------------------------------------------------------------------------
 
-ROWS = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS lo, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity + l_linenumber END AS hi FROM lineitem WHERE l_orderkey < 2000)"
+ROWS = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS lo, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity + l_linenumber END AS hi FROM lineitem)"
 
 
 def range_query(name: str, node: q.RangeTerm, test: str):
     @entry(name, f"SELECT l_orderkey, l_linenumber FROM {ROWS} WHERE {test}")
     def run(spark, sf_dir):
-        rows = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+        rows = read(spark, sf_dir, "lineitem")
         low, high = F.expr("CASE WHEN l_linenumber <> 1 THEN l_quantity END"), F.expr("CASE WHEN l_linenumber <> 7 THEN l_quantity + l_linenumber END")
         index = SearchIndex(rows.withColumn("span", ranges.make(low, high)), "l_orderkey", {})
         return index.search(node).select("l_orderkey", "l_linenumber")
@@ -162,7 +212,7 @@ range_query("range_within", q.RangeTerm("span", "within", low=20.0, high=21.0),
 
 # -- highlighting -----------------------------------------------------------------------------------------
 
-LICENSED = "SELECT doc_id, text FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), 'license')"
+LICENSED = f"SELECT doc_id, text FROM documents WHERE list_contains(regexp_extract_all(lower(text), '{WORD}'), 'license')"
 
 
 def _licensed(spark, sf_dir):
@@ -174,6 +224,32 @@ def highlight_whole(spark, sf_dir):
     return _licensed(spark, sf_dir).select("doc_id", F.md5(highlight(F.col("text"), ["license"])).alias("h"))
 
 
+SHORT = "SELECT p_partkey, '(' || p_name || ', a RED-red ' || p_type || ')' AS t FROM part"
+TAGGED = "regexp_replace(t, '\\b(red)\\b', '<b>\\1</b>', 'gi')"
+
+
+def _short(spark, sf_dir):
+    return read(spark, sf_dir, "part").selectExpr("p_partkey", "'(' || p_name || ', a RED-red ' || p_type || ')' AS t")
+
+
+@entry("snippet_short", f"SELECT p_partkey, {TAGGED}[2:-2] AS s FROM ({SHORT})")
+def snippet_short(spark, sf_dir):
+    return _short(spark, sf_dir).select("p_partkey", snippet(F.col("t"), ["red"]).alias("s"))
+
+
+@entry("snippets_short", f"SELECT p_partkey, {TAGGED}[2:-2] AS s, 1 AS n FROM ({SHORT})")
+def snippets_short(spark, sf_dir):
+    found = snippets(F.col("t"), ["red"], sort_by="position")
+    return _short(spark, sf_dir).select("p_partkey", found.alias("x")).select("p_partkey", F.get("x", F.lit(0)).alias("s"), F.size("x").alias("n"))
+
+
+@entry("snippet_positions_short", f"SELECT p_partkey, CASE WHEN p_name LIKE 'red %' THEN 3 ELSE 2 END AS n, (strpos(t, 'RED') - 1)::INT AS upper_start, (strpos(t, 'RED') + 2)::INT AS upper_end FROM ({SHORT.replace('SELECT p_partkey', 'SELECT p_partkey, p_name')})")
+def snippet_positions_short(spark, sf_dir):
+    found = snippet_positions(F.col("t"), ["red"])
+    last = F.get("x", F.size("x") - 2)
+    return _short(spark, sf_dir).select("p_partkey", found.alias("x")).select("p_partkey", F.size("x").alias("n"), F.get(last, F.lit(0)).alias("upper_start"), F.get(last, F.lit(1)).alias("upper_end"))
+
+
 @entry("snippet")
 def snippet_query(spark, sf_dir):
     return _licensed(spark, sf_dir).select("doc_id", snippet(F.col("text"), ["license"]).alias("snippet"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-PATTERN = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+from skerry.functions.analysis import UNICODE_WORD
+
+#: The default analyzer's words, as they stand in a SQL string.
+PATTERN = UNICODE_WORD.replace("\\", "\\\\").replace("'", "\\'")
 
 #: name(arguments) -> (result, body)
 FUNCTIONS = {

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from skerry.functions.analysis import Analyzer
 from skerry.plans import ast as q
 from skerry.plans.index import FieldSpec, SearchIndex, search_postings
+from skerry.sources.scratch import fresh_folder
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: DuckDB's patterns, written apart from the engine's: words by Unicode's default rules, and runs of letters and digits.
+WORD = r"_*(?:(?:[\p{L}\p{M}]+(?:[''’.:·][\p{L}\p{M}]+)*|\p{N}+(?:[.,;''’]\p{N}+)*)_*)+"
+RUN = r"[\p{L}\p{N}]+"
 QUERIES, ORACLE_SQL = {}, {}
 
 
@@ -17,8 +20,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, **spec) -> SearchIndex:
-    return SearchIndex(read(spark, sf_dir, "documents"), "doc_id", {"text": FieldSpec("text", **spec), "source": FieldSpec("source")})
+_built: dict[tuple[str, str], SearchIndex] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str, stored: bool = True, **spec) -> SearchIndex:
+    """The index of `documents`: written once a session into the shared folder, then opened; or scanned where not `stored`."""
+    index = SearchIndex(read(spark, sf_dir, "documents"), "doc_id", {"text": FieldSpec("text", **spec), "source": FieldSpec("source")})
+    if not stored or "analyzer" in spec:
+        return index
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _built:
+        plain = SearchIndex(index.df, "doc_id", {"text": FieldSpec("text"), "source": FieldSpec("source")})
+        _built[key] = plain.build(fresh_folder(spark, "index"))
+    # parameters of scoring are no part of what is written
+    return index.opened(_built[key].folder) if spec else _built[key]
 
 
 # -- oracle pieces ---------------------------------------------------------------------------------
@@ -167,6 +182,8 @@ query("parse_fields", q.Parse("text:(license gnu) AND n_chars:>2000"), oracle(f"
 query("parse_phrase", q.Parse('text:"all rights"~1 -text:license'), oracle(f"NOT {has('license')} AND len(list_filter({positions('all')}, lambda a: len(list_filter({positions('rights')}, lambda b: abs(b - 1 - a) <= 1)) > 0)) > 0",
       bm(f"len(list_filter({positions('all')}, lambda a: len(list_filter({positions('rights')}, lambda b: abs(b - 1 - a) <= 1)) > 0))", f"({idf('all')} + {idf('rights')})")))
 query("parse_boost", q.Parse("license^2 gnu", "text"), oracle(f"{has('license')} OR {has('gnu')}", f"2 * {one('license')} + {one('gnu')}"))
+query("parse_precedence", q.Parse("license AND gnu OR reserved", "text"), oracle(f"({has('license')} AND {has('gnu')}) OR {has('reserved')}", f"(CASE WHEN {has('license')} AND {has('gnu')} THEN {one('license')} + {one('gnu')} ELSE 0 END) + {one('reserved')}"))
+query("parse_or_conjunction", q.Parse("license OR reserved", "text", conjunction=True), oracle(f"{has('license')} OR {has('reserved')}", f"{one('license')} + {one('reserved')}"))
 query("parse_lenient", q.Parse("missing:x text:license", lenient=True), oracle(has("license"), one("license")))
 
 
@@ -213,13 +230,13 @@ def partial_index(spark, sf_dir):
 @entry("postings_match", oracle(f"{has('license')} OR {has('public')}", ANY))
 def postings_match(spark, sf_dir):
     index = documents(spark, sf_dir)
-    found = search_postings(index.postings("text"), ["license", "public"], index.n_docs("text"), index.mean_length("text"))
+    found = search_postings(index.stored("postings", "text"), ["license", "public"], index.n_docs("text"), index.mean_length("text"))
     return found.select(F.col("key").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @entry("postings_table", f"WITH w AS (SELECT doc_id AS key, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents) SELECT key, len(t)::INT AS length, term, count(*) AS tf FROM (SELECT key, t, unnest(t) AS term FROM w) GROUP BY key, t, term")
 def postings_table(spark, sf_dir):
-    return documents(spark, sf_dir).postings("text").select("key", "length", "term", "tf")
+    return documents(spark, sf_dir).stored("postings", "text").select("key", "length", "term", "tf")
 
 
 MLT = f"""{BASE}, src AS (SELECT term, count(*) AS tf FROM (SELECT unnest(t) AS term FROM d WHERE doc_id = 29) GROUP BY term),
@@ -254,10 +271,17 @@ def tokens_of(name: str, table: str, key: str, column: str, analyzer: Analyzer,
 
     @entry(name, f"SELECT {key}, unnest(x) AS term, (unnest(range(len(x))))::INT AS pos FROM (SELECT {key}, {sql} AS x FROM {table})")
     def run(spark, sf_dir):
-        return read(spark, sf_dir, table).select(key, F.explode(analyzer.tokens(F.col(column))).alias("t")).select(key, "t.term", "t.pos")
+        return read(spark, sf_dir, table).select(key, F.explode(analyzer.tokens(F.expr(column.replace("''", "\\'")))).alias("t")).select(key, "t.term", "t.pos")
 
 
-tokens_of("tokenize_simple", "part", "p_partkey", "p_name", Analyzer(), f"regexp_extract_all(lower(p_name), '{WORD}')")
+SIGNS = "'“' || {0} || '”—' || {0} || '…\u00a0l’été 3.14,5 snake_case __ ¿don''t? naïve–' || {1}"
+MIXED = "'日本語 тест ' || {0} || ' café-' || {1} || '，試験abc漢字'"
+tokens_of("tokenize_simple", "part", "p_partkey", SIGNS.format("p_name", "p_brand"), Analyzer("simple"), f"regexp_extract_all(lower({SIGNS.format('p_name', 'p_brand')}), '{RUN}')")
+tokens_of("tokenize_unicode", "part", "p_partkey", SIGNS.format("p_name", "p_brand"), Analyzer("unicode_words"), f"regexp_extract_all(lower({SIGNS.format('p_name', 'p_brand')}), '{WORD}')")
+tokens_of("tokenize_chinese", "part", "p_partkey", MIXED.format("p_name", "p_brand"), Analyzer("chinese_compatible"), f"regexp_extract_all(regexp_replace(lower({MIXED.format('p_name', 'p_brand')}), '([一-鿿])', ' \\1 ', 'g'), '{RUN}')")
+tokens_of("tokenize_icu", "part", "p_partkey", "'(' || p_name || ') it''s, ' || p_type || ' 3.5.'", Analyzer("icu"), "regexp_extract_all(lower(p_name || ' it''s ' || p_type || ' 3.5'), '[a-z0-9''.]+')")
+tokens_of("tokenize_raw", "part", "p_partkey", "p_brand", Analyzer("raw"), "[p_brand]")
+tokens_of("tokenize_keyword_trim", "part", "p_partkey", "'  ' || p_brand || ' '", Analyzer("keyword", trim=True), "[p_brand]")
 tokens_of("tokenize_case_kept", "part", "p_partkey", "p_type", Analyzer(lowercase=False), r"regexp_extract_all(p_type, '[0-9A-Za-z]+')")
 tokens_of("tokenize_whitespace", "conversations", "conv_id", "text", Analyzer("whitespace"), r"regexp_extract_all(lower(text), '[^ \t\n\r\f\x0B]+')")
 tokens_of("tokenize_literal", "part", "p_partkey", "p_name", Analyzer("literal"), "[p_name]")
@@ -265,7 +289,7 @@ tokens_of("tokenize_literal_normalized", "customer", "c_custkey", "c_name", Anal
 tokens_of("tokenize_ngram", "nation", "n_nationkey", "n_name", Analyzer("ngram", {"low": 3, "high": 3}), "list_transform(range(1, len(n_name) - 1), lambda i: lower(n_name[i:i + 2]))")
 tokens_of("tokenize_edge_ngram", "nation", "n_nationkey", "n_name", Analyzer("edge_ngram", {"low": 2, "high": 5}), "flatten(list_transform(list_filter(regexp_extract_all(lower(n_name), '[0-9a-z]+'), lambda w: len(w) >= 2), lambda w: list_transform(range(2, least(5, len(w)) + 1), lambda k: w[1:k])))")
 tokens_of("tokenize_regex", "pages", "page_id", "url", Analyzer("regex_pattern", {"pattern": "[a-z]+"}), "regexp_extract_all(url, '[a-z]+')")
-tokens_of("tokenize_source_code", "pages", "page_id", "url", Analyzer("source_code"), f"regexp_extract_all(lower(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '{WORD}')")
+tokens_of("tokenize_source_code", "pages", "page_id", "url", Analyzer("source_code"), f"regexp_extract_all(lower(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '{RUN}')")
 
 
 def filtered(name: str, analyzer: Analyzer, test: str, change: str = "term", base: str = "lower(text)"):
@@ -279,5 +303,6 @@ def filtered(name: str, analyzer: Analyzer, test: str, change: str = "term", bas
 filtered("filter_length", Analyzer(min_bytes=3, max_bytes=6), "strlen(term) BETWEEN 3 AND 6")
 filtered("filter_stopwords", Analyzer(stopwords=("the", "and", "of")), "term NOT IN ('the', 'and', 'of')")
 filtered("filter_stopwords_language", Analyzer(stopwords_languages=("english",)), "term NOT IN (" + ", ".join(f"'{w}'" for w in __import__("skerry.functions.analysis", fromlist=["x"]).STOPWORDS["english"]) + ")")
+filtered("filter_stopwords_spark", Analyzer(stopwords_languages=("dutch",)), "term NOT IN (SELECT unnest(string_split('de en van ik te dat die in een hij het niet zijn is was op aan met als voor had er maar om hem dan zou of wat mijn men dit zo door over ze zich bij ook tot je mij uit der daar haar naar heb hoe heeft hebben deze u want nog zal me zij nu ge geen omdat iets worden toch al waren veel meer doen toen moet ben zonder kan hun dus alles onder ja eens hier wie werd altijd doch wordt wezen kunnen ons zelf tegen na reeds wil kon niets uw iemand geweest andere', ' ')))")
 filtered("filter_alnum", Analyzer(alnum_only=True), "regexp_full_match(term, '[0-9A-Za-z]+')")
-filtered("filter_asciifold", Analyzer(fold=True), "true", "replace(translate(term, 'àáâãäåèéêëìíîïòóôõöùúûüýÿñç', 'aaaaaaeeeeiiiiooooouuuuyync'), 'ß', 'ss')")
+filtered("filter_asciifold", Analyzer(fold=True), "true", "replace(strip_accents(term), 'ß', 'ss')")

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from skerry.plans.index import FieldSpec, search_postings
 from skerry.plans.text_queries import ANY, has, oracle
+from skerry.sources.scratch import fresh_folder
 from skerry.streaming.incremental import append_stream, numbers, read_postings
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def _folder(spark) -> str:
-    shared = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = shared.get() if shared.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def stream_index(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
-    schema, folder = spark.read.parquet(path).schema, _folder(spark)
+    schema, folder = spark.read.parquet(path).schema, fresh_folder(spark, "stream")
     reader = spark.readStream.schema(schema)
     # a stream watches a folder: the table's own, or the one that holds its single file
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
