@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skerry.llm import license_scan, quality_rules, sharding
 
@@ -51,32 +52,43 @@ def test_quality_features(make, odd):
         assert all(failed == (k[1] < 50 or 100 * k[5] > 50 * k[1]) for k, failed in got.items())
 
 
-def test_frequent_lines_go_and_depleted_documents_with_them(make):
-    common = " ".join(f"share{i}" for i in range(60))
-    own = lambda k: " ".join(f"own{k}x{i}" for i in range(80))
-    texts = [common + "\n" + f"tail{k}" for k in range(12)] + [common + "\n" + own(k) for k in range(3)] + [own(k) for k in range(20, 30)]
-    docs = make(texts, sources=["h"] * 24 + [None])
-    got = {r.id: (r.removed_words, r.kept) for r in quality_rules.quality_rules(docs).collect()}
-    assert got[0] == (0, True), "the first holder keeps the line"
-    assert all(got[k] == (60, False) for k in range(1, 12))
-    assert all(got[k] == (60, True) for k in range(12, 15))
-    assert all(got[k] == (0, True) for k in range(15, 25))
-    kept = quality_rules.filter_documents(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, *range(12, 25)]
-
-
-@pytest.mark.parametrize("few", [500_000, 0])
-def test_kept_texts_lose_their_frequent_lines(make, few):
-    common = " ".join(f"Share{i}" for i in range(20))
+def brute_kept(rows, min_docs=10, max_share=0.005, min_left=0.4):
+    """(removed words, text without frequent lines, kept) of each row, by counting."""
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    lines = [[x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for r in rows]
+    hosts = Counter(r.source for r in rows)
+    held = Counter((r.source, x) for r, ls in zip(rows, lines, strict=True) for x in {norm(x) for x in ls})
+    over = {k for k, n in held.items() if n >= min_docs and n > max_share * hosts[k[0]]}
+    out = []
+    for r, ls in zip(rows, lines, strict=True):
+        n_words, *_, repeats = rules(r.text)
+        gone = sum(len(x.split()) for x in ls if (r.source, norm(x)) in over)
+        left = "\n".join(x for x in (r.text or "").split("\n") if (r.source, norm(x)) not in over) if gone else r.text
+        out.append((gone, left, not (n_words < 50 or 100 * repeats > 50 * n_words) and n_words - gone >= min_left * n_words))
+    return out
+
+
+@pytest.mark.parametrize("few", [quality_rules.FEW, 1])
+def test_frequent_lines_and_depleted_documents(make, odd, monkeypatch, few):
+    """All documents count, copies too, and none keeps a line; with `few` 0, light and heavy lines are joined apart."""
+    monkeypatch.setattr(quality_rules, "HEAVY", 12)
+    common = " ".join(f"Share{i}" for i in range(60))
     own = lambda k: "\n\n  " + " ".join(f"own{k}x{i}" for i in range(80)) + "\t\n"
-    texts = [common + own(k) + f" {common.upper()}  \n" + common for k in range(12)] + [own(20), None]
-    docs = make(texts, sources=["h"] * 14)
-    got = {r.doc_id: r for r in quality_rules.filter_documents(docs, few=few).collect()}
-    assert sorted(got) == list(range(13))
-    assert got[0].text == texts[0] and got[12].text == texts[12]
-    for k in range(1, 12):
-        assert got[k].text == own(k)[1:-1], "all copies of the line go, the others stay as they are"
-        assert got[k].n_chars == len(got[k].text)
+    texts = [common + own(k) + f" {common.upper()}  \n" for k in range(12)] + [common + "\ntail"] * 3 + [own(k) for k in range(20, 24)] + [own(9)] * 40 + [own(30)] * 9 + [f"twelve{k} hold\nthe same short line" for k in range(12)]
+    docs = make(texts, sources=["h"] * 19 + ["copies"] * 49 + [None] * 12).union(odd)
+    rows = docs.collect()
+    want = brute_kept(rows)
+    got = quality_rules.quality_rules(docs, few=few).collect()
+    assert Counter((r.id, r.removed_words, r.kept) for r in got) == Counter((r.doc_id, gone, kept) for r, (gone, _, kept) in zip(rows, want, strict=True))
+    assert sum(gone > 0 for gone, _, _ in want) > 60 and not any(kept for _, _, kept in want[19:59]), "40 exact copies are boilerplate"
+    for broadcast in (500_000, 0):
+        left = quality_rules.filter_documents(docs, few=broadcast)
+        assert left.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((r.doc_id, text) for r, (_, text, kept) in zip(rows, want, strict=True) if kept)
+    assert all(r.n_chars == len(r.text) for r in left.where("source = 'h'").collect())
+    clash = docs.withColumns({"_k1": F.lit("a"), "_gone": F.lit("b"), "_kept": F.lit("c"), "host": F.lit("d"), "at": F.lit(1)})
+    assert quality_rules.filter_documents(clash).columns == clash.columns
+    assert quality_rules.filter_documents(docs.limit(0)).collect() == []
 
 
 def check_shards(docs, rows, shards=8):
@@ -85,24 +97,60 @@ def check_shards(docs, rows, shards=8):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
-def test_sharding(make, odd):
+def loads(rows, shards=8):
+    return [sum(r.size for r in rows if r.shard == s) for s in range(shards)]
+
+
+def parted(rows):
+    """Texts (by checksum) that stand in more than one shard."""
+    return {k for k, n in Counter(k for k, _ in {(r.text_crc32, r.shard) for r in rows}).items() if n > 1}
+
+
+@pytest.mark.parametrize("range_rows", [20_000, 100])
+def test_sharding(make, odd, range_rows):
     check_shards(odd, sharding.shard_records(odd).collect())
     assert sharding.shard_records(odd.limit(0)).collect() == []
-    texts = [f"text {i % 700} " + "y" * (i * 37 % 400) for i in range(2000)] + ["hot text " * 20] * 1500
-    docs = make(texts)
-    rows = sharding.shard_records(docs, range_rows=100).collect()
-    check_shards(docs, rows)
-    total = sum(r.size for r in rows)
-    loads = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
-    assert max(loads) - min(loads) <= 0.03 * total / 8
-    groups = Counter((r.text_crc32, r.shard) for r in rows if r.text_crc32 != zlib.crc32(("hot text " * 20).encode()))
-    assert max(Counter(k for k, _ in groups).values()) == 1, "small groups stay in one shard"
+    texts = [f"text {i % 700} " + "y" * (i % 700 * 37 % 400) for i in range(2100)] + ["hot text " * 20] * 1500 + ["warm text " * 20] * 150
+    rows = sharding.shard_records(make(texts), range_rows=range_rows).collect()
+    check_shards(make(texts), rows)
+    assert max(loads(rows)) - min(loads(rows)) <= sum(r.size for r in rows) / 8 / 16
+    assert parted(rows) == {zlib.crc32(b"hot text " * 20)}, "only the group that fits in no shard is parted"
+
+
+def test_groups_of_copies_stay_whole_beside_a_hot_text(make):
+    """6,000 groups of two share the order with a text that has a third of all bytes."""
+    texts = [f"pair {i // 2} of two" for i in range(12_000)] + ["pair hot of two"] * 6000
+    rows = sharding.shard_records(make(texts), range_rows=500).collect()
+    check_shards(make(texts), rows)
+    assert parted(rows) == {zlib.crc32(b"pair hot of two")}
+    assert max(loads(rows)) - min(loads(rows)) <= sum(loads(rows)) / 8 / 32
 
 
-def test_written_shards(make, tmp_path, spark):
-    docs = make([f"text {i}" for i in range(50)])
-    sharding.write_shards(docs.select("doc_id", "text"), f"{tmp_path}/out", shards=4, files=2)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 50
+def test_a_group_that_fits_is_not_parted():
+    pieces, room = sharding.plan([(1, 90), (2, 60), (3, 250), (4, 40)], 800, 8)
+    assert Counter(k for k, *_ in pieces) == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert sum(room) == 800 - 440 and all(x >= 0 for x in room)
+    assert sharding.plan([], 0, 8) == ([], [0] * 8)
+
+
+@pytest.mark.parametrize("ids", [[7] * 600, [None] * 600, list(range(600))])
+def test_identical_rows_are_placed_apart_and_written_once(make, tmp_path, spark, ids):
+    docs = make(["the same text"] * 600, ids=ids).withColumn("shard", F.lit("own"))
+    rows = sharding.shard_records(docs).collect()
+    check_shards(docs, rows)
+    assert max(loads(rows)) - min(loads(rows)) <= 2 * 14
+    name = sharding.write_shards(docs, f"{tmp_path}/out", files=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert name == "shard_" and back.columns == [*docs.columns, "shard_"]
+    assert back.count() == 600 and back.where("shard = 'own'").count() == 600
+    assert sorted(r["count"] for r in back.groupBy("shard_").count().collect()) == [75] * 8
+
+
+def test_written_shards(odd, tmp_path, spark):
+    sharding.write_shards(odd, f"{tmp_path}/out", shards=4, files=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    key = lambda r: repr((r.doc_id, r.text, r.lang, r.source))
+    assert sorted(map(key, back.collect())) == sorted(map(key, odd.collect()))
 
 
 @pytest.mark.parametrize("phrase", list(BASE))
