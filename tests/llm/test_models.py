@@ -39,6 +39,40 @@ def test_parse_is_the_greedy_longest_match():
             assert [longest(x, folded) for x in plain] == row.tolist()
 
 
+@pytest.mark.parametrize("block, lanes, dense", [(1024, 16384, 24 << 20), (16, 16384, 0), (7, 1, 24 << 20), (64, 600, 0)])
+def test_parse_of_long_texts_is_the_greedy_longest_match(monkeypatch, block, lanes, dense):
+    monkeypatch.setattr(language_id, "DENSE", dense)
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    monkeypatch.setattr(language_id, "LANES", lanes)
+    rng = random.Random(2)
+    samples = tuple((name, "".join(rng.choice(letters) for _ in range(900))) for name, letters in (("aa", "abc"), ("bb", "bcdé"), ("cc", "日本語abc")))
+    p = language_id.Parser(samples)
+    texts = ["".join(rng.choice("abcdé日x") for _ in range(rng.randint(1, 5000))) for _ in range(6)]
+    texts += ["".join(x[k : k + rng.randint(1, 400)] for k in (rng.randrange(900) for _ in range(30)) for x in [rng.choice(samples)[1]]) for _ in range(6)]
+    texts += [samples[0][1] * 3, "a" * 3000, "", "q" * 50]
+    chars, totals = p.parse(texts)
+    assert chars.tolist() == [len(x) for x in texts]
+    assert totals.tolist() == [[longest(x, text) for _, x in samples] for text in texts]
+
+
+def test_languages_with_many_letters_are_told_apart(spark):
+    rng = random.Random(8)
+    letters = {"zx": [chr(0x4E00 + i) for i in range(500)], "jx": [chr(0x4E00 + i) for i in range(250, 750)], "aa": "abcdefghij", "bb": "abcdefghij", "cc": "klmnopqrst", "rr": "абвгдежзий"}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 4))) for _ in range(300)] for k, v in letters.items()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(60)), k) for i, k in enumerate(list(letters) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang_pred, rows[r.doc_id][2]) for r in language_id.language_id(docs, language_id.fit(docs)).where("held_out").collect()]
+    for k in letters:
+        assert np.mean([a == b for a, b in got if b == k]) > 0.95, k
+
+
+def test_every_language_is_learnt_and_bounds_hold(make):
+    langs = [f"l{k:03}" for k in range(90)]
+    docs = make([f"{k}word and more {k}s of it" + " long" * (3000 if i % 7 == 0 else 0) for i, k in enumerate(langs * 2)], langs=langs * 2)
+    samples = language_id.fit(docs, lang_chars=100, short=50)
+    assert len(samples) > 80 and all(len(t) <= 150 for _, t in samples)
+
+
 def test_languages_of_odd_rows(odd, make):
     samples = language_id.fit(odd)
     assert {x for x, _ in samples} <= {"en", "fr", "de"}
