@@ -7,7 +7,8 @@ the factor makes the expected tokens equal the budget. A document is kept when t
 falls below its probability, so the choice is the same in every run.
 
 Targets: a dictionary of shares for each margin (values not named share what is left, in proportion
-to their tokens), or by default the tokens' shares raised to `temper` (below 1 lifts small ones).
+to their tokens), or by default the tokens' shares raised to `temper` (below 1 lifts small ones). Tokens
+are words between blanks, counted over whole texts.
 Raking is a sum over cells only: where they are few (`local_cells`, counted first), their sums come
 to the driver; beyond that, the same steps run as aggregations and joins over the cell table, to the
 same tolerance and round limit. Where the limit comes first, a warning names the deviation left.
@@ -32,6 +33,8 @@ from skerry.llm.common import cut, spread_join, table
 MARGINS = ("source", "lang", "topic")
 NULL = "\x00"
 ROUNDS, TOLERANCE = 100, 1e-9  # of raking, on either path
+LOCAL = 50_000  # rows of a counted table that is still collected or broadcast
+MADE = ("mix_tokens", "mix_topic", "mix_weight", "mix_probability", "mix_kept")
 
 
 def _count_of(text: Column, chars: str) -> Column:
@@ -113,18 +116,19 @@ def _cells(spread: DataFrame) -> DataFrame:
     return spread.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
 
 
-def _local(cells: DataFrame, wanted: dict, temper: float, budget_share: float) -> DataFrame:
+def _local(cells: DataFrame, wanted: dict, temper: float, budget_share: float, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells with weight and probability, raked in the driver (their number was counted)."""
     rows = sorted(cells.collect())
     tokens = np.array([r.tokens for r in rows], dtype=float)
     codes, targets = [], []
     for m in MARGINS:
         values = sorted({r[m] for r in rows})
-        code = np.array([values.index(r[m]) for r in rows], dtype=np.int64) if len(values) < 50 else np.searchsorted(np.array(values, dtype=object), np.array([r[m] for r in rows], dtype=object))
+        number = {v: i for i, v in enumerate(values)}
+        code = np.array([number[r[m]] for r in rows], dtype=np.int64)
         shares = target_shares(dict(zip(values, np.bincount(code, weights=tokens, minlength=len(values)).tolist(), strict=True)), wanted.get(m), temper)
         codes.append(code)
         targets.append(np.array([shares[v] for v in values]))
-    w = rake(tokens, np.array(codes), targets) if rows else tokens
+    w = rake(tokens, np.array(codes), targets, tolerance=tolerance) if rows else tokens
     c = factor_for(w, tokens, budget_share * tokens.sum())
     p = np.minimum(1.0, c * np.divide(w, tokens, out=np.zeros_like(w), where=tokens > 0)) if np.isfinite(c) else np.ones(len(rows))
     p = np.where(tokens > 0, p, 1.0)
@@ -132,14 +136,24 @@ def _local(cells: DataFrame, wanted: dict, temper: float, budget_share: float) -
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
 
 
+def _joined(cells: DataFrame, few: DataFrame, margin: str, n: int) -> DataFrame:
+    """Cells with a column of the margin's values, of which there are `n`."""
+    return cells.join(F.broadcast(few), margin) if n <= LOCAL else spread_join(cells, few, margin, "tokens")
+
+
 def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same over the cell table, by aggregations and joins; lineage is cut in every round."""
+    """The same over the cell table, which is never rewritten: a cell's weight is its tokens' share times one factor of each margin.
+
+    Each step sums the cells by one margin, under the factors of the others, which gives that margin's
+    new factors; those of up to `LOCAL` values (counted) come by way of the driver and are broadcast,
+    others are written and joined.
+    """
     spark = cells.sparkSession
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    now = cut(cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1)))))
-    targets = {}
+    share = F.col("tokens") / F.lit(float(max(total, 1)))
+    factors, values = {}, {}
     for m in MARGINS:
-        sums = now.groupBy(m).agg(F.sum("tokens").alias("t"))
+        sums = cells.groupBy(m).agg(F.sum("tokens").alias("t"))
         if wanted.get(m) is None:
             raised = sums.withColumn("r", F.when(F.col("t") > 0, F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(temper))).otherwise(0.0))
         else:
@@ -149,18 +163,28 @@ def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float,
             rest = joined.where("share is null").agg(F.sum("t")).first()[0] or 0
             raised = joined.withColumn("r", F.when(F.col("share").isNotNull(), F.when(F.col("t") > 0, F.col("share")).otherwise(0.0)).otherwise(F.lit(max(left, 0.0)) * F.col("t") / F.lit(float(max(rest, 1)))))
         every = raised.agg(F.sum("r")).first()[0] or 1.0
-        targets[m] = cut(raised.select(m, (F.col("r") / F.lit(float(every) or 1.0)).alias("target")))
+        factors[m] = cut(raised.select(m, (F.col("r") / F.lit(float(every))).alias("target"), F.lit(1.0).alias("f")))
+        values[m] = factors[m].count()
+
+    def weighted(without: str | None = None) -> DataFrame:
+        out, w = cells, share
+        for m in MARGINS:
+            if m != without:
+                out, w = _joined(out, factors[m].select(m, F.col("f").alias(f"f_{m}")), m, values[m]), w * F.col(f"f_{m}")
+        return out.withColumn("weight", w).select(*MARGINS, "tokens", "weight")
+
     for _ in range(rounds):
         worst = 0.0
         for m in MARGINS:
-            have = cut(now.groupBy(m).agg(F.sum("weight").alias("h")).join(targets[m], m).select(m, F.abs(F.col("h") - F.col("target")).alias("off"), F.when(F.col("h") > 0, F.col("target") / F.col("h")).otherwise(0.0).alias("f")))
-            worst = max(worst, have.agg(F.max("off")).first()[0] or 0.0)
-            now = spread_join(now, have.drop("off"), m, "tokens").withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        now = cut(now)
+            have = weighted(m).groupBy(m).agg(F.sum("weight").alias("h")).join(factors[m], m)
+            new = have.select(m, "target", F.when(F.col("h") > 0, F.col("target") / F.col("h")).otherwise(0.0).alias("f"), F.abs(F.col("h") * F.col("f") - F.col("target")).alias("off"))
+            factors[m] = spark.createDataFrame(new.toArrow()) if values[m] <= LOCAL else cut(new)
+            worst = max(worst, factors[m].agg(F.max("off")).first()[0] or 0.0)
         if worst < tolerance:
             break
     else:
         _report(worst, rounds)
+    now = cut(weighted())
     # the factor by narrowing: each pass sums the cell table for many factors at once
     budget, low, high = budget_share * total, 0.0, float(max(total, 1)) * 1e6
     if budget >= total:
@@ -172,18 +196,18 @@ def _spread(cells: DataFrame, wanted: dict, temper: float, budget_share: float,
     return now.select(*MARGINS, "weight", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(high) * F.col("weight") / F.col("tokens"))).otherwise(1.0).alias("probability"))
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7, budget_share: float = 0.8, seed: int = 11, local_cells: int = 50_000, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, keep_text: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7, budget_share: float = 0.8, seed: int = 11, local_cells: int = LOCAL, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, keep_text: bool = True) -> DataFrame:
     """The input's rows with mix_tokens, mix_topic, mix_weight (of the cell), mix_probability and mix_kept.
 
     Without `keep_text` the rows come without their texts, and topics and tokens are taken only once.
     """
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
-    columns = [c for c in docs.columns if keep_text or c != text_col]
+    columns = [c for c in docs.columns if (keep_text or c != text_col) and c.lower() not in MADE]
     own = docs.select(F.struct(*columns).alias("row"), value("source").alias("source"), value("lang").alias("lang"), F.coalesce(topic if topic is not None else topic_of(F.col(text_col)), F.lit(NULL)).alias("topic"), tokens_of(F.col(text_col)).alias("n_tokens"))
     own = own if keep_text else cut(own)
     cells = cut(_cells(own))
     n = cells.count()
-    made = (_local if n <= local_cells else _spread)(cells, targets or {}, temper, budget_share)
+    made = (_local if n <= local_cells else _spread)(cells, targets or {}, temper, budget_share, tolerance=tolerance)
     if n <= local_cells:
         # at most local_cells rows, counted above
         rows = own.join(F.broadcast(made), [*MARGINS])
