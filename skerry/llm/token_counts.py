@@ -5,13 +5,16 @@ library alone: those that come back as one token are proven whole tokens. A text
 pre-tokens; those in the proven set count one, and only the others go to the library, each distinct
 one once (a bounded memo keeps their counts).
 
-The cutting is done here for texts whose characters lie in a range where it was proven equal to the
-library's own normalising and splitting (tests go through all of it); any other text, and any that
-holds the string of a special token, is encoded whole by the library.
+The cutting is done here for characters of a range where it was proven equal to the library's own
+normalising and splitting (tests go through all of it). In a text with others, the words between
+blanks that hold such characters are counted by the library, each distinct one once, and the rest is
+cut here: no token, and no rule of normalising, reaches over a blank. Only a text that holds the
+string of a special token is encoded whole by the library.
 
 Defined results: null is an empty text, with 0 bytes and 0 tokens; identical rows each keep their
-row; null ids are carried. Rows stay where they are read (no shuffle); memory is bounded by a batch,
-the memo and the longest text.
+row; null ids are carried; an empty table gives an empty result; further columns are ignored,
+whatever their names. Rows stay where they are read (no shuffle); memory is bounded by a batch, the
+memo and the longest text, which is taken whole.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm.common import table
 
+#: Fixed value: the vocabulary file's own splitting pattern, which must match it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII, Latin-1 and Latin Extended-A without those that change length or case oddly, dashes and quotes.
 SAFE = regex.compile(r"[\x00-\x1B\x20-\x7E\xA0-įĲ-ňŊ-ž‐-‧€]*")
+BLANKS = regex.compile(r"[ \t\n]+")
 MEMO = 200_000
 LIMIT = 2048
 
@@ -59,9 +64,15 @@ class Counting:
         return frozenset(w for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True) if len(e.ids) == 1)
 
     def count(self, text: str) -> int:
-        if not SAFE.fullmatch(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return len(self.library.encode(text, add_special_tokens=False).ids)
+        odd: Counter[str] = Counter()
+        if not SAFE.fullmatch(text):
+            words = BLANKS.split(text)
+            odd.update(w for w in words if not SAFE.fullmatch(w))
+            text = " ".join(w for w in words if w not in odd)
         found = Counter(self.cut.findall(text.lower()))
+        found.update(odd)  # these hold characters that no pre-token from here does
         total, merge = 0, []
         whole, memo = self.whole, self.memo
         for word, n in found.items():
