@@ -63,4 +63,6 @@ def components(edges: DataFrame, rounds: int = 64, one_task: int = 1_000_000) ->
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components were not joined after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -21,7 +21,10 @@ Result: one row a document with its class (the smallest id of its connected grou
 links: other documents with similarity of `threshold` or more, copies counted one by one.
 
 Defined results: texts without words are linked only to equal texts, null or blank ones to nothing;
-identical rows count as copies; null ids are rows like any other (a class of null ids only is null).
+identical rows count as copies; null ids are rows like any other (a class of null ids only is null); an
+empty table gives an empty result; texts are taken whole, however long (a row's tokens stay in one
+task); further columns are ignored, whatever their names (`keep_first` keeps them). Equal sets are told
+by a 64-bit hash: among 10 billion different texts about three pairs share one.
 Shuffles carry sketches, tokens and, for candidate groups alone, sets; large groups are blocks of
 `block` members against each other, so that no group meets in one task. Nothing that grows with the
 input is broadcast: the joins are asked to merge.
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import cut, row_hash, spread_join, table, tasks
+from skerry.llm.common import cut, free_name, row_hash, spread_join, table, tasks
 from skerry.llm.components import components
 from skerry.llm.text_arrays import mix, words_of_each
 
@@ -297,10 +300,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = W
 
     groups = components(candidate_edges(members, runs, levels, small, block, threshold))
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    inside = spread_join(groups, sizes, "root", "node").join(members.select(F.col("sid").alias("node"), "copies", F.col("first.rk").alias("rk")).hint("merge"), "node")
-    inside = inside.select("root", "n", F.col("node").alias("sid"), "copies", "rk")
-    # the first row of each member brings its text again; the set is made anew
-    texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(text_col).alias("t")).join(inside.hint("merge"), "rk").dropDuplicates(["rk"]).select("root", "n", "sid", "copies", "t")
+    inside = spread_join(groups, sizes, "root", "node").join(members.select(F.col("sid").alias("node"), "copies", "first").hint("merge"), "node")
+    inside = inside.select("root", "n", F.col("node").alias("sid"), "copies", F.col("first.id").alias("first_id"), F.col("first.rk").alias("first_rk"))
+    # the first row of each member, told by its id and its hash, brings its text again; the set is made anew
+    keyed = docs.select(F.col(id_col).alias("id"), row_hash(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
+    texts = keyed.join(inside.hint("merge"), (F.col("rk") == F.col("first_rk")) & F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["sid"]).select("root", "n", "sid", "copies", "t")
 
     def sets(batches):
         for b in batches:
@@ -326,9 +330,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n_words: int = W
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each class left: the row of the smallest id (of identical rows, one)."""
-    ones = jaccard_join(docs, **how).where("rk = head").select(F.col("rk").alias("_rk"))
-    keyed = docs.withColumn("_rk", row_hash("doc_id", "text"))
-    return keyed.join(ones.hint("merge"), "_rk", "left_semi").dropDuplicates(["_rk"]).drop("_rk")
+    heads = jaccard_join(docs, **how).where((F.col("rk") == F.col("head")) & F.col("id").eqNullSafe(F.col("class_id")))
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    mine, theirs, ids = (free_name(docs, x) for x in ("_rk", "_head", "_head_id"))
+    keyed = docs.withColumn(mine, row_hash(id_col, text_col))
+    heads = heads.select(F.col("rk").alias(theirs), F.col("id").alias(ids))
+    kept = keyed.join(heads.hint("merge"), (F.col(mine) == F.col(theirs)) & F.col(id_col).eqNullSafe(F.col(ids)), "left_semi")
+    return kept.dropDuplicates([mine, id_col]).select(*docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ place in the input, so repeated ids or equal vectors never meet in one block for
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a missing
 component (shorter vector) weighs 0; rows of the query's own id are never its candidates; repeated
-rows stay separate candidates and separate queries; null ids take no part. Scores are 64-bit.
-Memory is bounded by one pair of blocks.
+rows stay separate candidates and separate queries; null ids take no part; an empty table gives an empty
+result; further columns are ignored, whatever their names. Scores are 64-bit. Memory is bounded by one
+pair of blocks: candidates are sent once for each `QUERY_BLOCK` queries, weights as 16-bit numbers
+where all fit.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql.window import Window
 from skerry.llm.common import table
 
 K, SCALE, EVERY = 20, 64, 20
-QUERY_BLOCK, ROW_BLOCK = 512, 8192
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 
 
 def _weights(column: pa.Array) -> np.ndarray:
@@ -90,7 +92,10 @@ def topk_search(rows: DataFrame, is_query: str, k: int = K, scale: int = SCALE,
     v = F.col(vec_col)
     usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.expr(is_query).alias("asks"), F.when(usable, F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))).alias("w"), F.monotonically_increasing_id().alias("at")).where(F.col("w").isNotNull())
-    n_rows, n_queries = base.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
+    largest = F.max(F.greatest(F.abs(F.array_max("w")), F.abs(F.array_min("w"))))
+    n_rows, n_queries, most = base.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1)), largest).first()
+    # weights travel in the narrowest type that holds them all
+    base = base.withColumn("w", F.col("w").cast(f"array<{'smallint' if (most or 0) < 1 << 15 else 'int' if most < 1 << 31 else 'long'}>"))
     q_blocks, r_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // ROW_BLOCK))
     deal = lambda n, salt: F.pmod(F.xxhash64("at", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
