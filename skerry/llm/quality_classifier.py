@@ -7,13 +7,16 @@ vectors of the words around it. A document pools the vectors of its words and sh
 joined by a few rates (repeats, lengths, case, marks). A two-layer network in numpy gives a logit;
 a temperature fitted on texts set apart turns it into a probability.
 
-Learning sees labels only of rows whose crc32(id) mod 5 is not 0, and of these a bounded sample:
-`max_rows` documents (those whose id has the smallest hash), `max_chars` of each. Scoring reads
-whole texts and nothing else, where they lie: no rows move.
+Learning sees labels only of rows whose crc32(id) mod 5 is not 0, and of these a bounded sample of
+whole texts: `max_rows` documents (those whose id has the smallest hash), but for the texts of more
+than `longest` characters among them. Scoring reads whole texts and nothing else, where they lie: no
+rows move.
 
 Defined results: null and empty texts pool to zeros and get the score of such a text; documents
 labelled twice count with their smallest label, null labels not at all; with nothing (or one class)
-to learn from, every score is the share of good labels, or 0.5; identical rows each keep their row.
+to learn from, every score is the share of good labels, or 0.5; identical rows each keep their row and
+score; an empty table gives an empty result; very long texts are scored whole, a piece at a time;
+further columns are ignored, whatever their names (or kept, with `keep`).
 """
 
 from __future__ import annotations
@@ -169,11 +172,11 @@ def remainder(id_col: str, of: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(of))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, max_chars: int = 8000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, longest: int = 50_000) -> Model:
     """A model of a bounded sample of the labelled rows."""
     known = labels.where(F.col(label_col).isNotNull() & (remainder(id_col, 5) != HELD)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    text = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, max_chars).alias("t"))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNull() | (F.length("t") <= longest))
     # at most max_rows ids are broadcast and come back
     rows = text.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("id"), "id").collect()
     return train([r.t or "" for r in rows], np.array([r.y for r in rows], dtype=np.int64))
