@@ -34,6 +34,19 @@ def test_license_scan(make, odd):
     assert rows[7].labels == "" and rows[7].score == 0
 
 
+def test_whole_licence_texts(make):
+    texts = []
+    for _, text in license_scan.WHOLE:
+        words = license_scan.words_of(text)
+        texts += ["Some words first. " + " ".join(words) + " and some after", " ".join(w for i, w in enumerate(words) if i % 20 != 7), " ".join(words[: len(words) // 2])]
+    rows = {r.doc_id: r for r in license_scan.scan_digest(make(texts + [f"the quick {i} brown" for i in range(300)])).collect()}
+    for k, (label, _) in enumerate(license_scan.WHOLE):
+        assert label in rows[3 * k].labels.split(",") and rows[3 * k].score == 1, label
+        assert label in rows[3 * k + 1].labels.split(","), "missing words leave neighbouring diagonals"
+        assert label not in rows[3 * k + 2].labels.split(","), "half a text is not the whole"
+    assert all(rows[i].labels == "" for i in range(3 * len(license_scan.WHOLE), len(rows)))
+
+
 def rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -155,5 +168,5 @@ def test_written_shards(odd, tmp_path, spark):
 
 @pytest.mark.parametrize("phrase", list(BASE))
 def test_base_phrases_seed_every_pair(phrase):
-    rows = [r for r in license_scan.template_positions() if r[2] and r[7] == phrase.split()[0]]
+    rows = [r for r in license_scan.template_positions() if r[2] and r[7] == phrase.split()[0] and r[8] == phrase.split()[1]]
     assert rows
