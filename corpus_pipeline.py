@@ -2,16 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All stages but the last give the columns of documents.
+
+Defined results: null and empty texts are scored as such texts by the classifier, and fail the quality
+rules for want of words; null ids, languages and sources are carried like any other value; identical
+rows are one document after the third stage; very long texts go through whole; ties are settled by
+smallest id and by hashes of ids, so every run gives the same rows; empty tables give an empty result;
+further columns of `documents`, whatever their names, are left out from the first stage on.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm import jaccard_join, mixing, piece_codec, quality_classifier, quality_rules
-from skerry.llm.common import shared_folder, table
+from skerry.llm.common import table
+from skerry.sources.scratch import fresh_folder, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last one's is the result.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
