@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skerry.functions.stemming import STEMMERS, stem_terms
+
 WORD = r"[\p{L}\p{N}]+"
 IDEOGRAPH = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}"
 #: Letters (with their marks) but those of scripts written without blanks; joints that keep letters, and digits, together.
@@ -150,16 +152,6 @@ def ascii_fold(term: Column) -> Column:
     return F.when(folded.rlike("[" + "".join(longer) + "]"), many).otherwise(folded)
 
 
-def stem_english(term: Column) -> Column:
-    """A light suffix stemmer: plural, -ing and -ed endings."""
-    t = F.regexp_replace(term, "(ss)es$", "$1")
-    t = F.regexp_replace(t, "ies$", "i")
-    t = F.when(t.rlike("[^s]s$") & ~t.rlike("us$"), F.regexp_replace(t, "s$", "")).otherwise(t)
-    t = F.when(t.rlike("[aeiouy].*ing$"), F.regexp_replace(t, "ing$", "")).otherwise(t)
-    t = F.when(t.rlike("[aeiouy].*ed$"), F.regexp_replace(t, "ed$", "")).otherwise(t)
-    return F.regexp_replace(t, "y$", "i")
-
-
 @dataclass(frozen=True)
 class Analyzer:
     """A tokenizer with token filters, applied in one fixed order.
@@ -183,7 +175,7 @@ class Analyzer:
     def __post_init__(self):
         if self.tokenizer not in TOKENIZERS:
             raise ValueError(f"unknown tokenizer {self.tokenizer!r}")
-        if self.stemmer not in (None, "english"):
+        if self.stemmer is not None and self.stemmer not in STEMMERS:
             raise ValueError(f"no stemmer for {self.stemmer!r}")
         for language in self.stopwords_languages:
             if language not in STOPWORDS and language not in SPARK_LANGUAGES:
@@ -196,7 +188,10 @@ class Analyzer:
 
     def tokens(self, text: Column) -> Column:
         """array<struct<term, pos>> of a text column."""
-        out = TOKENIZERS[self.tokenizer](**self.options)(text)
+        return self.filtered(TOKENIZERS[self.tokenizer](**self.options)(text))
+
+    def filtered(self, out: Column) -> Column:
+        """Tokens after the token filters."""
         on = lambda a, f: F.transform(a, lambda t: F.struct(f(t["term"]).alias("term"), t["pos"].alias("pos")))
         keep = lambda a, f: F.filter(a, lambda t: f(t["term"]))
         if self.min_bytes is not None:
@@ -208,7 +203,8 @@ class Analyzer:
         if self.lowers:
             out = on(out, F.lower)
         if self.stemmer:
-            out = on(out, stem_english)
+            stems = stem_terms(F.transform(out, lambda t: t["term"]), self.stemmer)
+            out = F.zip_with(stems, F.transform(out, lambda t: t["pos"]), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
         if self.stopwords:
             out = keep(out, lambda t: ~t.isin(*self.stopwords))
         if self.fold:

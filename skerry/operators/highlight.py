@@ -23,14 +23,10 @@ START, END, MAX_CHARS, LIMIT = "<b>", "</b>", 150, 5
 
 def surfaces(text: Column, terms: list[str], analyzer: Analyzer = DEFAULT) -> Column:
     """The distinct words of the text, in lower case, that the analyzer turns into one of the terms."""
-    words = Analyzer(analyzer.tokenizer, analyzer.options, lowercase=False).terms(text)
-    held = F.filter(F.array_distinct(words), lambda w: F.exists(_term_of(w, analyzer), lambda t: t.isin(*terms)))
-    return F.array_distinct(F.transform(held, F.lower))
-
-
-def _term_of(word: Column, analyzer: Analyzer) -> Column:
-    """The analyzer's filters over one word."""
-    return analyzer.with_options(tokenizer="literal_normalized", options={}).terms(word)
+    words = F.array_distinct(Analyzer(analyzer.tokenizer, analyzer.options, lowercase=False).terms(text))
+    tokens = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    held = F.filter(analyzer.filtered(tokens), lambda t: t["term"].isin(*terms))
+    return F.array_distinct(F.transform(held, lambda t: F.lower(F.get(words, t["pos"]))))
 
 
 def _matches(text: str, words) -> list[tuple[int, int, str]]:

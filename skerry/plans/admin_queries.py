@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.plans import admin, sql
 from skerry.plans import ast as q
-from skerry.plans.text_queries import BASE, WORD, documents, has, one, read
+from skerry.plans.text_queries import BASE, WORD, documents, has, near, one, read
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -83,3 +83,52 @@ def not_query(spark, sf_dir):
 def keyset_membership(spark, sf_dir):
     keys = documents(spark, sf_dir).search(q.Term("text", "license")).select("doc_id")
     return read(spark, sf_dir, "orders").join(keys, F.col("o_orderkey") == F.col("doc_id"), "left_semi").select("o_orderkey")
+
+
+@entry("sql_terms", f"{BASE} SELECT doc_id FROM d WHERE ({has('license')} AND len(list_filter(t, lambda x: regexp_full_match(x, 'lic.*d'))) > 0) OR len(list_filter(t, lambda x: levenshtein(x, 'reservd') <= 1)) > 0")
+def sql_terms(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id FROM {d} WHERE match_term(text, 'license') AND match_regex(text, 'lic.*d') OR match_fuzzy(text, 'reservd', 1)", d=read(spark, sf_dir, "documents"))
+
+
+@entry("sql_near", f"{BASE} SELECT doc_id, {near('license', 'gnu', 'abs(b - a) <= 4')} > 0 AS either, {near('gnu', 'license', 'b >= a AND b - a <= 4')} > 0 AS ordered, contains(' ' || array_to_string(t, ' '), ' all rights res') AS prefix FROM d")
+def sql_near(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, match_near(text, 'license', 3, 'gnu') AS either, match_near_ordered(text, 'gnu', 3, 'license') AS ordered, match_phrase_prefix(text, 'All rights res') AS prefix FROM {d}", d=read(spark, sf_dir, "documents"))
+
+
+@entry("sql_cosine", "SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1)), 6) AS d FROM embeddings")
+def sql_cosine(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT a.vec_id, round(vector_cosine(a.embedding, b.embedding), 6) AS d FROM {e} a JOIN {e} b ON b.vec_id = 1", e=read(spark, sf_dir, "embeddings"))
+
+
+@entry("parameterised", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderstatus IN ('F', 'P')")
+def parameterised(spark, sf_dir):
+    """One text, run with values bound by name."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
+    return spark.sql("SELECT o_orderkey, o_totalprice FROM _orders WHERE o_totalprice > :least AND array_contains(:states, o_orderstatus)", args={"least": 150000, "states": F.array(F.lit("F"), F.lit("P"))})
+
+
+@entry("row_level_view", f"{BASE} SELECT doc_id FROM d WHERE lang = 'de' AND {has('license')}")
+def row_level_view(spark, sf_dir):
+    """A view that shows a reader the rows of one language only; searched like any table."""
+    read(spark, sf_dir, "documents").where("lang = 'de'").createOrReplaceTempView("_visible")
+    sql.register(spark)
+    return spark.sql("SELECT doc_id FROM _visible WHERE match_term(text, 'license')")
+
+
+@entry("join_range_partitioned", "SELECT o_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def join_range_partitioned(spark, sf_dir):
+    """Both sides dealt to the same buckets of key ranges, written so, and joined and summed within these."""
+    orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    part = lambda c: F.floor(F.col(c) / 4096)  # noqa: E731  a bucket is a range of keys
+    left = orders.select("o_orderkey", part("o_orderkey").alias("range"))
+    right = items.select("l_orderkey", "l_quantity", part("l_orderkey").alias("range"))
+    joined = left.repartition("range").join(right.repartition("range"), (F.col("o_orderkey") == F.col("l_orderkey")) & (left["range"] == right["range"]))
+    return joined.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+@entry("random_words", "SELECT 1000::BIGINT AS n, true AS fits")
+def random_words(spark, sf_dir):
+    return admin.random_words(spark, 1000, 7).agg(F.count("word").alias("n"), F.every(F.col("word").rlike("^[a-z]{3,10}$")).alias("fits"))

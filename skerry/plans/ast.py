@@ -65,9 +65,19 @@ class TermSet(Query):
     values: tuple
 
 
+@dataclass(frozen=True)
+class Terms(Query):
+    """Any of some tokens, each of its own field: (field, token) pairs; constant score."""
+
+    pairs: tuple
+
+
 @dataclass(frozen=True)
 class Match(Query):
-    """The analysed text's tokens, any (each occurrence scores) or all (distinct ones)."""
+    """The analysed text's tokens, any (each occurrence scores) or all (distinct ones).
+
+    `tokenizer`: analyses the query text instead of the field's own search analyzer.
+    """
 
     field: str
     text: str | tuple
@@ -75,15 +85,17 @@ class Match(Query):
     distance: int = 0
     prefix: bool = False
     transpose: bool = True
+    tokenizer: str | None = None
 
 
 @dataclass(frozen=True)
 class Phrase(Query):
-    """The analysed tokens in order; `slop` is the total displacement allowed."""
+    """The analysed tokens in order; `slop` is the total displacement allowed, `tokenizer` as in Match."""
 
     field: str
     text: str | tuple
     slop: int = 0
+    tokenizer: str | None = None
 
 
 @dataclass(frozen=True)
@@ -105,11 +117,12 @@ class Regex(Query):
 
 @dataclass(frozen=True)
 class RegexPhrase(Query):
-    """Consecutive tokens meet the patterns."""
+    """Consecutive tokens meet the patterns; a pattern of more than `max_expansions` terms is an error."""
 
     field: str
     patterns: tuple
     slop: int = 0
+    max_expansions: int | None = None
 
 
 @dataclass(frozen=True)
@@ -127,7 +140,8 @@ class Fuzzy(Query):
 class Near(Query):
     """Proximity: at most `distance` tokens between left and right; `ordered`: left comes first.
 
-    Each side is a token, a pattern `/.../`, a tuple of alternatives, or another Near.
+    Each side is a token, a pattern `/.../`, a tuple of alternatives, or another Near. A pattern stands for
+    its first `max_expansions` terms in order (None: for all).
     """
 
     field: str
@@ -135,6 +149,7 @@ class Near(Query):
     distance: int
     right: object
     ordered: bool = False
+    max_expansions: int | None = None
 
 
 @dataclass(frozen=True)
@@ -218,10 +233,15 @@ class ScoreFilter(Query):
 
 @dataclass(frozen=True)
 class MoreLikeThis(Query):
-    """Rows that share the most telling terms of a text or of the row with the given key."""
+    """Rows that share the most telling terms of a text or of the row with the given key.
 
-    field: str
-    text: str | None = None
+    `field` may be several fields; `text` is then a tuple of (field, text) pairs (a document). The best
+    `max_query_terms` of all fields count. `boost_factor`: each term's score is multiplied by it and by
+    how telling the term is, against the most telling one.
+    """
+
+    field: str | tuple
+    text: str | tuple | None = None
     key: object = None
     min_doc_frequency: int = 1
     max_doc_frequency: int | None = None
@@ -230,6 +250,7 @@ class MoreLikeThis(Query):
     min_word_length: int = 0
     max_word_length: int | None = None
     stopwords: tuple = ()
+    boost_factor: float | None = None
 
 
 @dataclass(frozen=True)

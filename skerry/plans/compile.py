@@ -68,9 +68,18 @@ class Compiler:
     def tokens(self, field: str) -> Column:
         return F.col(self.index.token_column(field))
 
-    def terms_of(self, field: str, text) -> list[str]:
+    def terms_of(self, field: str, text, tokenizer: str | None = None) -> list[str]:
         """Tokens of a query text; a sequence is taken as tokens already."""
-        return list(text) if isinstance(text, (list, tuple)) else self.index.analyse(field, text)
+        return list(text) if isinstance(text, (list, tuple)) else self.index.analyse(field, text, tokenizer)
+
+    def pattern(self, field: str, pattern: str, limit: int | None, strict: bool):
+        """A test of terms: those that meet the pattern; at most the first `limit` of the dictionary, or an error if `strict`."""
+        if limit is None:
+            return lambda t: t.rlike(f"^(?:{pattern})$")
+        found = self.index.expand(field, lambda t: t.rlike(f"^(?:{pattern})$"), limit + 1)
+        if strict and len(found) > limit:
+            raise ValueError(f"the pattern {pattern!r} stands for more than {limit} terms")
+        return lambda t: t.isin(*found[:limit]) if found else F.lit(False)
 
     def idf(self, field: str, term: str) -> float:
         n, df = self.index.n_docs(field), self.index.doc_frequency(field, term)
@@ -120,10 +129,10 @@ class Compiler:
         if isinstance(q, ast.TermSet):
             return _one_of(held(q.field, q.values))
         if isinstance(q, ast.Match) and not q.distance:
-            parts = held(q.field, self.terms_of(q.field, q.text))
+            parts = held(q.field, self.terms_of(q.field, q.text, q.tokenizer))
             return _all_of(parts) if q.every else _one_of(parts)
         if isinstance(q, (ast.Phrase, ast.PhrasePrefix)):
-            return _all_of(held(q.field, self.terms_of(q.field, q.text)))
+            return _all_of(held(q.field, self.terms_of(q.field, q.text, getattr(q, "tokenizer", None))))
         if isinstance(q, ast.Near):
             return _all_of([self._side_needs(q.field, q.left), self._side_needs(q.field, q.right)])
         if isinstance(q, ast.Boolean):
@@ -132,8 +141,10 @@ class Compiler:
             return None if q.minimum_should_match == 0 else _one_of([self.needs(x) for x in q.should])
         if isinstance(q, ast.DisMax):
             return _one_of([self.needs(x) for x in q.clauses])
+        if isinstance(q, ast.Terms):
+            return _one_of([self.index.may_hold(f, t) for f, t in q.pairs])
         if isinstance(q, ast.MoreLikeThis):
-            return _one_of(held(q.field, self.index.telling_terms(q)))
+            return _one_of([self.index.may_hold(f, t) for f, t, _ in self.index.telling_terms(q)])
         if isinstance(q, ast.Parse):
             return self.needs(self.tree(q))
         if isinstance(q, (ast.Where, ast.Range, ast.Exists)):
@@ -163,11 +174,11 @@ class Compiler:
         if isinstance(q, ast.TermSet):
             return one(q.field, q.values)
         if isinstance(q, ast.Match):
-            terms = self.terms_of(q.field, q.text)
+            terms = self.terms_of(q.field, q.text, q.tokenizer)
             parts = [self._expanded(q.field, lambda t, v=v: fuzzy_match(t, v, q.distance, q.prefix, q.transpose)) if q.distance else one(q.field, [v]) for v in terms]
             return self._rarest(parts) if q.every and terms else self._union(parts)
         if isinstance(q, ast.Phrase):
-            return self._rarest([one(q.field, [t]) for t in self.terms_of(q.field, q.text)])
+            return self._rarest([one(q.field, [t]) for t in self.terms_of(q.field, q.text, q.tokenizer)])
         if isinstance(q, ast.PhrasePrefix):
             terms = self.terms_of(q.field, q.text)
             return self._rarest([one(q.field, [t]) for t in terms[:-1]]) if len(terms) > 1 else None
@@ -186,7 +197,9 @@ class Compiler:
         if isinstance(q, ast.DisMax):
             return self._union([self.seeds(x) for x in q.clauses]) if q.clauses else None
         if isinstance(q, ast.MoreLikeThis):
-            return one(q.field, self.index.telling_terms(q))
+            return [(f, (t,)) for f, t, _ in self.index.telling_terms(q)]
+        if isinstance(q, ast.Terms):
+            return [(f, (t,)) for f, t in q.pairs]
         if isinstance(q, ast.Parse):
             return self.seeds(self.tree(q))
         return None
@@ -238,8 +251,13 @@ class Compiler:
     def _termset(self, q):
         return self.guard(q.field, F.exists(self.tokens(q.field), lambda t: t["term"].isin(*q.values)) if q.values else F.lit(False)), F.lit(1.0)
 
+    def _terms(self, q):
+        if not q.pairs:
+            return F.lit(False), F.lit(1.0)
+        return _any([F.coalesce(self._termset(ast.TermSet(f, (v,)))[0], F.lit(False)) for f, v in q.pairs]), F.lit(1.0)
+
     def _match(self, q):
-        terms = self.terms_of(q.field, q.text)
+        terms = self.terms_of(q.field, q.text, q.tokenizer)
         if q.every:
             terms = list(dict.fromkeys(terms))
         if not terms:
@@ -253,7 +271,7 @@ class Compiler:
         return self.guard(q.field, match), _sum([s for _, s in parts])
 
     def _phrase(self, q):
-        terms = self.terms_of(q.field, q.text)
+        terms = self.terms_of(q.field, q.text, q.tokenizer)
         if not terms:
             return F.lit(False), F.lit(0.0)
         if len(terms) == 1:
@@ -275,7 +293,7 @@ class Compiler:
         return self.guard(q.field, F.exists(self.tokens(q.field), lambda t: t["term"].rlike(f"^(?:{q.pattern})$"))), F.lit(1.0)
 
     def _regexphrase(self, q):
-        match, _ = self.sequence(q.field, [lambda t, p=p: t.rlike(f"^(?:{p})$") for p in q.patterns], q.slop)
+        match, _ = self.sequence(q.field, [self.pattern(q.field, p, q.max_expansions, True) for p in q.patterns], q.slop)
         return self.guard(q.field, match), F.lit(1.0)
 
     def fuzzy(self, field: str, value: str, q) -> Column:
@@ -286,17 +304,17 @@ class Compiler:
             raise ValueError("the distance is 0, 1 or 2")
         return self.guard(q.field, self.fuzzy(q.field, q.value, q)), F.lit(1.0)
 
-    def near_places(self, field: str, side, nested: str | None = None) -> Column:
+    def near_places(self, field: str, side, nested: str | None = None, limit: int | None = None) -> Column:
         """Positions that an operand offers; an inner Near offers both ends, or the inner one when nested deeper."""
         if isinstance(side, ast.Near):
-            left, right = self.near_places(field, side.left, "left"), self.near_places(field, side.right, "right")
+            left, right = self.near_places(field, side.left, "left", side.max_expansions), self.near_places(field, side.right, "right", side.max_expansions)
             lefts = F.filter(left, lambda a: F.exists(right, lambda b: self.close(a, b, side)))
             rights = F.filter(right, lambda b: F.exists(left, lambda a: self.close(a, b, side)))
             return {"left": rights, "right": lefts}.get(nested, F.array_sort(F.array_union(lefts, rights)))
         if isinstance(side, (tuple, list)):
-            return F.array_sort(F.flatten(F.array(*[self.near_places(field, x) for x in side])))
+            return F.array_sort(F.flatten(F.array(*[self.near_places(field, x, limit=limit) for x in side])))
         if len(side) > 1 and side[0] == side[-1] == "/":
-            return self.places(field, lambda t: t.rlike(f"^(?:{side[1:-1]})$"))
+            return self.places(field, self.pattern(field, side[1:-1], limit, False))
         return self.places(field, lambda t: t == side)
 
     @staticmethod
@@ -311,7 +329,7 @@ class Compiler:
         return [] if side[:1] == "/" else [side]
 
     def _near(self, q):
-        left, right = self.near_places(q.field, q.left), self.near_places(q.field, q.right)
+        left, right = self.near_places(q.field, q.left, limit=q.max_expansions), self.near_places(q.field, q.right, limit=q.max_expansions)
         found = F.filter(left, lambda a: F.exists(right, lambda b: self.close(a, b, q)))
         idf = sum(self.idf(q.field, t) for t in self.near_terms(q)) or 1.0
         return self.guard(q.field, F.size(found) > 0), self.bm25(q.field, F.size(found), idf)
@@ -380,8 +398,10 @@ class Compiler:
         terms = self.index.telling_terms(q)
         if not terms:
             return F.lit(False), F.lit(0.0)
-        parts = [self.term(q.field, t) for t in terms]
-        return self.guard(q.field, _any([m for m, _ in parts])), _sum([s for _, s in parts])
+        parts = [(f, *self.term(f, t), 1.0 if q.boost_factor is None else q.boost_factor * w / terms[0][2]) for f, t, w in terms]
+        held = [self.guard(f, m) for f, m, _, _ in parts]
+        match = _any(held) if isinstance(q.field, str) else _any([F.coalesce(m, F.lit(False)) for m in held])
+        return match, _sum([s if w == 1.0 else s * w for _, _, s, w in parts])
 
     def tree(self, q: ast.Parse) -> ast.Query:
         """The nodes of a query string."""

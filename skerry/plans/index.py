@@ -149,11 +149,13 @@ class SearchIndex:
         self.doc_frequencies(name, [term])
         return self._numbers["df", name, term]
 
-    def analyse(self, name: str, text: str) -> list[str]:
-        """The terms of a query text under the field's search analyzer."""
+    def analyse(self, name: str, text: str, tokenizer: str | None = None) -> list[str]:
+        """The terms of a query text under the field's search analyzer, or under another tokenizer with its filters."""
+        self.token_column(name)
         spec = self.fields[name]
-        terms = (spec.search_analyzer or spec.analyzer).terms(F.lit(text))
-        found = self._once(("terms", name, text), lambda: self.df.sparkSession.range(1).select(terms.alias("t")).first().t)
+        analyzer = spec.search_analyzer or spec.analyzer
+        terms = (analyzer.with_options(tokenizer=tokenizer, options={}) if tokenizer else analyzer).terms(F.lit(text))
+        found = self._once(("terms", name, text, tokenizer), lambda: self.df.sparkSession.range(1).select(terms.alias("t")).first().t)
         self.doc_frequencies(name, found)
         return list(found)
 
@@ -169,38 +171,42 @@ class SearchIndex:
         """The first `limit` terms of the dictionary, in order, that meet the test."""
         return [r.term for r in self.dictionary(name).where(test(F.col("term"))).select("term").orderBy("term").limit(limit).collect()]
 
-    def telling_terms(self, q: ast.MoreLikeThis) -> list[str]:
-        """The terms of the source text with the largest tf * idf."""
+    def telling_terms(self, q: ast.MoreLikeThis) -> list[tuple[str, str, float]]:
+        """(field, term, tf * idf) of the terms of the source with the largest tf * idf, over all its fields."""
         return self._once(("telling", q), lambda: self._telling_terms(q))
 
-    def _telling_terms(self, q: ast.MoreLikeThis) -> list[str]:
-        """The terms of the source text with the largest tf * idf."""
-        tokens = F.col(self.token_column(q.field))
-        if q.text is not None:
-            spec = self.fields[q.field]
-            source = self.df.sparkSession.range(1).select(F.explode(spec.analyzer.terms(F.lit(q.text))).alias("term"))
+    def _telling_terms(self, q: ast.MoreLikeThis) -> list[tuple[str, str, float]]:
+        names = [q.field] if isinstance(q.field, str) else list(q.field)
+        texts = {q.field: q.text} if isinstance(q.text, str) else dict(q.text) if q.text is not None else None
+        found = [x for name in names if texts is None or name in texts for x in self._telling_of(q, name, texts and texts[name])]
+        return sorted(found, key=lambda x: (-x[2], x[1], x[0]))[: q.max_query_terms]
+
+    def _telling_of(self, q: ast.MoreLikeThis, name: str, text: str | None) -> list[tuple[str, str, float]]:
+        tokens = F.col(self.token_column(name))
+        if text is not None:
+            source = self.df.sparkSession.range(1).select(F.explode(self.fields[name].analyzer.terms(F.lit(text))).alias("term"))
         else:
-            source = self.analysed.where(F.col(self.key) == F.lit(q.key)).select(F.explode(F.transform(tokens, lambda t: t["term"])).alias("term"))
+            source = self.with_tokens(self.df.where(F.col(self.key) == F.lit(q.key))).select(F.explode(F.transform(tokens, lambda t: t["term"])).alias("term"))
         tf = source.groupBy("term").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") >= q.min_term_frequency)
         if q.stopwords:
             tf = tf.where(~F.col("term").isin(*q.stopwords))
         tf = tf.where(F.length("term") >= q.min_word_length)
         if q.max_word_length is not None:
             tf = tf.where(F.length("term") <= q.max_word_length)
-        n = self.n_docs(q.field)
+        n = self.n_docs(name)
         tf = F.broadcast(tf)  # one text's terms
         if self.folder:
-            joined = self.dictionary(q.field).join(tf, "term")
+            joined = self.dictionary(name).join(tf, "term")
         else:  # only the source's terms are counted
             held = self.analysed.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: t["term"]))).alias("term")).join(tf, "term", "left_semi")
             joined = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(tf, "term")
         joined = joined.where(F.col("df") >= q.min_doc_frequency)
         if q.max_doc_frequency is not None:
             joined = joined.where(F.col("df") <= q.max_doc_frequency)
-        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        rows = joined.orderBy(F.round(F.col("tf") * idf, 6).desc(), "term").limit(q.max_query_terms).collect()
-        self._numbers |= {("df", q.field, r.term): r.df for r in rows}
-        return [r.term for r in rows]
+        weight = F.round(F.col("tf") * F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6)
+        rows = joined.select("term", "df", weight.alias("w")).orderBy(F.desc("w"), "term").limit(q.max_query_terms).collect()
+        self._numbers |= {("df", name, r.term): r.df for r in rows}
+        return [(name, r.term, r.w) for r in rows]
 
     # -- queries --------------------------------------------------------------------------------
 

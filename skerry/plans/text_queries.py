@@ -256,6 +256,18 @@ def mlt_text(spark, sf_dir):
     return documents(spark, sf_dir).search(q.MoreLikeThis("text", text="This GNU license, a work", stopwords=("this", "a"))).select("doc_id", F.round("score", 4).alias("score"))
 
 
+query("terms_of_fields", q.Terms((("text", "gnu"), ("source", "src3"))), oracle(f"{has('gnu')} OR source = 'src3'"))
+query("match_other_tokenizer", q.Match("text", "license,reserved gnu", tokenizer="whitespace"), oracle(has("gnu"), one("gnu")))
+query("prox_regex_limited", q.Near("text", "/lic.*/", 2, "gnu", max_expansions=50), oracle(f"{N4} > 0", bm(N4, idf("gnu"))))
+
+
+@entry("mlt_fields", oracle(f"{has('license')} OR {has('gnu')} OR source = 'src3'", f"{one('license')} + {one('gnu')} + (CASE WHEN source = 'src3' THEN ln(1 + (s.n - (SELECT count(*) FROM d WHERE source = 'src3') + 0.5) / ((SELECT count(*) FROM d WHERE source = 'src3') + 0.5)) ELSE 0.0 END)"))
+def mlt_fields(spark, sf_dir):
+    """More like a document of two fields."""
+    node = q.MoreLikeThis(("text", "source"), text=(("text", "GNU license"), ("source", "src3")))
+    return documents(spark, sf_dir).search(node).select("doc_id", F.round("score", 4).alias("score"))
+
+
 @entry("not_null_guard", f"SELECT doc_id, NOT CASE WHEN doc_id % 3 = 0 THEN NULL ELSE list_contains(regexp_extract_all(lower(text), '{WORD}'), 'license') END AS matches FROM documents")
 def not_null_guard(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("text", F.expr("CASE WHEN doc_id % 3 <> 0 THEN text END"))
