@@ -20,6 +20,8 @@ from skerry.functions.analysis import DEFAULT, Analyzer
 from skerry.plans import ast
 from skerry.plans.compile import Compiler
 
+SPREAD = 16  # files of one term's postings
+
 
 @dataclass(frozen=True)
 class FieldSpec:
@@ -58,14 +60,15 @@ class SearchIndex:
     def build(self, folder: str) -> SearchIndex:
         """The index with its postings, dictionaries and numbers written below `folder`, which is to be shared by all machines.
 
-        Postings lie sorted by term and key, dealt by ranges of both, so that a term's postings are few
-        row groups, and a term of very many rows is several files.
+        Postings lie sorted by term and key in every file, and each term's in `SPREAD` files at most: few row
+        groups of each file hold a term, and a term of very many rows is no single task's.
         """
         numbers = []
         for name in self.fields:
-            self.postings(name).repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{folder}/postings/{name}")
+            dealt = self.postings(name).repartition("term", F.pmod(F.xxhash64("key"), F.lit(SPREAD)))
+            dealt.sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{folder}/postings/{name}")
             written = self.stored("postings", name, folder)
-            written.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms/{name}")
+            written.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms/{name}")
             n, mean = self._lengths(name)
             numbers.append((name, n, mean))
         self.df.sparkSession.createDataFrame(numbers, "field string, n long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/numbers")

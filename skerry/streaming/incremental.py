@@ -17,7 +17,7 @@ def append_stream(stream: DataFrame, key: str, field: FieldSpec, out: str, check
 
     def put(batch: DataFrame, number: int) -> None:
         index = SearchIndex(batch, key, {"text": field})
-        index.postings("text").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        index.postings("text").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -31,7 +31,7 @@ def read_postings(spark: SparkSession, out: str, deleted: DataFrame | None = Non
 
 def merge_batches(spark: SparkSession, out: str, target: str, deleted: DataFrame | None = None) -> None:
     """All batches as one table sorted by term, without deleted keys."""
-    read_postings(spark, out, deleted).drop("batch").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(target)
+    read_postings(spark, out, deleted).drop("batch").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.mode("overwrite").parquet(target)
 
 
 def numbers(postings: DataFrame) -> tuple[int, float]:
