@@ -343,4 +343,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_shingles")
 
 
+#: All pairs that share a shingle, and what is reached over their links.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+u AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(w) < {WORDS} THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS g FROM d)),
+n AS (SELECT r, count(*) AS n FROM u GROUP BY r),
+shared AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM u x JOIN u y ON x.g = y.g AND x.r <> y.r GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE k >= {THRESHOLD} * (x.n + y.n - k) - 1e-9
+  UNION ALL SELECT x.r, y.r FROM d x JOIN d y ON x.text = y.text AND x.r <> y.r AND len(x.w) = 0 AND regexp_matches(x.text, '\S')),
+reach(r, x) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN links ON x = a),
+classes AS (SELECT reach.r, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = x GROUP BY reach.r)
+SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = d.r)::BIGINT AS n_links, coalesce(n.n, 0)::BIGINT AS n_shingles FROM d JOIN classes USING (r) LEFT JOIN n USING (r)"""
+
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
+ORACLE_SQL = {"op8_jaccard_join": SQL}

@@ -167,13 +167,13 @@ def test_mixing_both_ways(make):
     texts = [" ".join(["word"] * rng.randint(1, 60)) for _ in range(300)]
     docs = make(texts, langs=[rng.choice(["en", "fr", None]) for _ in texts], sources=[rng.choice(["a", "a", "a", "b", None]) for _ in texts])
     want = {"source": {"a": 0.4, "b": 0.4}, "lang": {"fr": 0.5}}
-    here, there = ({r.doc_id: r for r in mixing.mix_sources(docs, want, budget_share=0.5, local_cells=n, tolerance=1e-5).collect()} for n in (1000, 0))
+    here, there = ({r.doc_id: r for r in mixing.mix_sources(docs, want, budget_share=0.5, local_cells=n, tolerance=1e-4).collect()} for n in (1000, 0))
     assert len(here) == 300
     for k, r in here.items():
-        assert r.mix_probability == pytest.approx(there[k].mix_probability, abs=1e-3)
+        assert r.mix_probability == pytest.approx(there[k].mix_probability, abs=5e-3)
     cells = {(r.source, r.lang): r.mix_weight for r in here.values()}
-    assert sum(v for (s, _), v in cells.items() if s == "a") == pytest.approx(0.4, abs=1e-4)
-    assert sum(v for (_, x), v in cells.items() if x == "fr") == pytest.approx(0.5, abs=1e-4)
+    assert sum(v for (s, _), v in cells.items() if s == "a") == pytest.approx(0.4, abs=1e-3)
+    assert sum(v for (_, x), v in cells.items() if x == "fr") == pytest.approx(0.5, abs=1e-3)
     assert sum(r.mix_tokens * r.mix_probability for r in here.values()) == pytest.approx(0.5 * sum(r.mix_tokens for r in here.values()), rel=1e-6)
 
 
@@ -263,11 +263,11 @@ def test_mixing_against_plain_loops(make, local_cells):
     langs, sources = ([rng.choice(x) for _ in texts] for x in (["en", "fr", "de"], ["a", "a", "b", "c"]))
     docs = make(texts, langs=langs, sources=sources)
     want = {"source": {"a": 0.2, "b": 0.5}}
-    got = {r.doc_id: (r.mix_tokens, r.mix_topic, r.mix_probability, r.mix_kept) for r in mixing.mix_sources(docs, want, budget_share=0.6, local_cells=local_cells, tolerance=1e-9 if local_cells else 1e-6).collect()}
+    got = {r.doc_id: (r.mix_tokens, r.mix_topic, r.mix_probability, r.mix_kept) for r in mixing.mix_sources(docs, want, budget_share=0.6, local_cells=local_cells, tolerance=1e-9 if local_cells else 1e-5).collect()}
     brute = brute_mix(docs.collect(), want, 0.7, 0.6)
     assert got.keys() == brute.keys() and got[250][0] == got[251][0] == 3
     for k, (n, topic, p, kept) in brute.items():
-        assert got[k][:2] == (n, topic) and got[k][2] == pytest.approx(p, abs=1e-6 if local_cells else 1e-3) and (got[k][3] == kept or not local_cells), k
+        assert got[k][:2] == (n, topic) and got[k][2] == pytest.approx(p, abs=1e-6 if local_cells else 2e-3) and (got[k][3] == kept or not local_cells), k
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
