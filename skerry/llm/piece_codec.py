@@ -15,7 +15,7 @@ the one before. The ids of all texts are then gathered by number. Runs of three
 whose pieces share one score, are merged directly.
 
 Each part's ids are decoded once, when they are made; a text's round trip holds when those of all its
-parts do. Memory is bounded by the memo and a block: texts are taken in blocks of about `BLOCK`
+parts do. Memory is bounded by the memo, which lives as long as a task, and a block: texts are taken in blocks of about `BLOCK`
 characters, and longer ones are cut before blanks (a run of that length without one stays whole).
 
 Defined results: null and empty texts have no ids; identical rows each keep their row; characters
@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from skerry.llm.common import table
 
 BLANK = "▁"
-MEMO, PAIRS, LONG, BLOCK = 200_000, 400_000, 64, 4 << 20
+MEMO, PAIRS, LONG, BLOCK = 120_000, 150_000, 64, 1 << 20
 BREAK = re.compile(f"(?<=[^ {BLANK}])[ {BLANK}]")  # a blank that follows something else
-ROWS = 1024  # texts encoded at once
+ROWS = 512  # texts encoded at once
 
 
 class Memo:
@@ -119,6 +119,13 @@ class PieceCodec:
         self.memo = Memo()
         self.faults: set[str] = set()  # parts whose ids do not decode to them
 
+    def forget(self) -> None:
+        """Empties the memos and gives their memory back, for what the worker does next."""
+        self.memo = Memo()
+        self.apart.clear()
+        self.faults.clear()
+        pa.default_memory_pool().release_unused()
+
     def merged(self, s: str, last: dict | None = None) -> list[str]:
         """The pieces that merging by rank, leftmost first among equals, leaves; `last` gets the two halves of each."""
         part = list(s)
@@ -338,6 +345,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
                     part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64)),
                     pa.array([crc32(np.ascontiguousarray(x, dtype="<i4")) for x in ids], pa.int64()), pa.array(trips, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip"])
+        c.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
